@@ -14,7 +14,7 @@ BUCKETS = 1 << 14
 #: Trusted documents that the target multinomial is fitted on at most (those with the smallest hashes of their ids).
 TARGET_DOCS = 20_000
 #: Least mean log-likelihood ratio of a kept document, in millionths of a nat for each n-gram.
-THRESHOLD = -600_000
+THRESHOLD = -80_000
 MICRO = 1_000_000
 GRAM = 8
 
@@ -41,8 +41,9 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted is not null").distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(target_docs)
     rows = docs.select(F.col(id_col).alias("_id"), F.transform(_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.xxhash64(w)).alias("_hashes"))
     rows = rows.join(F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().cast("long").alias("target"), _features(F.col("_hashes")).alias("_f"))
-    counts = rows.select("target", F.explode("_f").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
-    found = counts.select("bucket", "raw", "target").collect()
+    # explode() would have Spark infer a filter on the array's size and work the array out again for it, once for each element
+    counts = rows.select("target", F.explode_outer("_f").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
+    found = counts.where("bucket is not null").collect()
     n_raw, n_target = sum(r["raw"] for r in found), sum(r["target"] for r in found)
     weights = [0] * BUCKETS
     if not n_target:
