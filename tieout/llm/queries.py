@@ -9,6 +9,7 @@ from .common import table
 from .piece_codec import encode_decode
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
+from .simhash import simhash_groups
 from .token_counts import token_counts
 
 
@@ -20,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), width=4, bits=4)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
