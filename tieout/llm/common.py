@@ -46,3 +46,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by files in the shared folder."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def packed(docs: DataFrame, id_col: str) -> DataFrame:
+    """(_id, _row): each row of docs as one struct, so that no column of it clashes with an operator's own."""
+    return docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))

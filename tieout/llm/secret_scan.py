@@ -150,7 +150,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     length_col, where there is such a column, follows the new text; rows without a secret stay as they
     are, null texts too. Every row and column stays.
     """
-    text = F.col(text_col)
+    text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -158,6 +158,9 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
 
     whole = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    df = with_spans(docs, text_col).withColumn("_new", F.when(F.size("_spans") > 0, whole).otherwise(text))
-    columns = [F.col("_new").alias(c) if c == text_col else F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    return df.select(*columns)
+    df = with_spans(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text")))
+    df = df.select("_row", "_spans", F.when(F.size("_spans") > 0, whole).alias("new"))
+    row = F.col("_row").withField(f"`{text_col}`", F.col("new"))
+    if length_col in docs.columns:
+        row = row.withField(f"`{length_col}`", F.length("new").cast(docs.schema[length_col].dataType))
+    return df.select(F.when(F.size("_spans") > 0, row).otherwise(F.col("_row")).alias("_row")).select("_row.*")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, packed
 
 #: Labelled rows that the classifier is fitted on at most (those with the smallest hashes of their ids).
 TRAIN_ROWS = 20_000
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, may_learn: Column |
 
 
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _score (0 to 1) of each text added; every row and column stays.
+    """(_id, _row, _score) of each row of docs: the row as a struct, and the score (0 to 1) of its text.
 
     The text alone is scored, whole, whatever its length; null and empty texts get the score of a text
     without features.
@@ -201,9 +201,8 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 scores.append(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "_score"])
 
-    given = docs.select("*", F.col(text_col).alias("_text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return given.mapInArrow(run, f"{schema}, _score double")
+    rows = packed(docs, id_col).select("_id", "_row", F.col(f"_row.`{text_col}`").alias("_text"))
+    return rows.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _row {rows.schema['_row'].dataType.simpleString()}, _score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -216,7 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     out = F.coalesce(held_out(F.col(id_col), 5, 0), F.lit(False))
     model = train(docs, labels, F.col("toxic"), ~out, id_col, text_col, train_rows)
-    scored = toxicity_scores(docs.select(id_col, text_col), model, id_col, text_col)
+    scored = toxicity_scores(docs.select(id_col, text_col), model, id_col, text_col).withColumnRenamed("_id", id_col)
     return scored.select(id_col, out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -224,4 +223,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The rows of docs that the model doesn't reject, with docs' columns."""
     out = F.coalesce(held_out(F.col(id_col), 5, 0), F.lit(False))
     model = train(docs, labels, F.col("toxic"), ~out, id_col, text_col)
-    return toxicity_scores(docs, model, id_col, text_col).where("_score < 0.5").select(*docs.columns)
+    return toxicity_scores(docs, model, id_col, text_col).where("_score < 0.5").select("_row.*")
