@@ -14,6 +14,7 @@ from .piece_codec import encode_decode
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import simhash_groups
+from .suffix_dedup import without_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -46,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
