@@ -64,7 +64,7 @@ def train_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["d", "b", "n"])
 
     counts = rows.mapInArrow(count, "d string, b int, n long").groupBy("d", "b").agg(F.sum("n").alias("n"))
-    got = counts.toLocalIterator()
+    got = counts.collect()
     names: dict[str, np.ndarray] = {}
     for r in got:
         if r["d"] not in names and len(names) >= DOMAINS:

@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, may_learn: Column |
                 ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.list_(pa.int32()))), pa.array(ys, pa.int32())], names=["own", "swaps", "y"])
 
-    got = sorted((tuple(r["own"]), tuple(map(tuple, r["swaps"])), r["y"]) for r in rows.select("_text", "_y").mapInArrow(listed, "own array<int>, swaps array<array<int>>, y int").toLocalIterator())
+    got = sorted((tuple(r["own"]), tuple(map(tuple, r["swaps"])), r["y"]) for r in rows.select("_text", "_y").mapInArrow(listed, "own array<int>, swaps array<array<int>>, y int").collect())
     pairs = [(list(o), list(s)) for o, ss, _ in got for s in ss]
     return fit(features, [list(o) for o, _, _ in got], [y for _, _, y in got], pairs, swap_penalty)
 
