@@ -11,7 +11,7 @@ counts under all segmentations), so they are learnt from every training document
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +31,8 @@ FREQUENT_BYTES = 32
 ROUNDS, ADDED, RANK = 2, 0.1, 200.0
 #: Different words that a task counts before it passes them on.
 HELD = 300_000
+#: Longest word with its space mark that is re-estimated with plain numbers: its probability is no less than 1e-9 for each byte.
+PLAIN = 24
 LOG10 = math.log(10)
 END = "</s>"
 
@@ -93,8 +95,43 @@ def log_probability(word: str, logs: dict[str, float], longest: int) -> float:
     return a[-1]
 
 
-def add_expected(word: str, times: int, logs: dict[str, float], longest: int, sums: dict[str, float]) -> None:
+def add_expected(word: str, times: int, probabilities: dict[str, float], logs: dict[str, float], longest: int, sums: dict[str, float]) -> None:
     """Adds times the expected number of each piece in the segmentations of word, given the word."""
+    s = SPACE + word
+    n = len(s)
+    if n > PLAIN:
+        return _add_expected_long(word, times, logs, longest, sums)
+    get, a, edges = probabilities.get, [1.0], []
+    for j in range(1, n + 1):
+        total, here = 0.0, []
+        for i in range(j - longest if j > longest else 0, j):
+            piece = s[i:j]
+            if (p := get(piece)) is not None:
+                p *= a[i]
+                total += p
+                here.append((i, piece, p))
+        if s[j - 1] not in probabilities:
+            p = a[j - 1] * math.prod(probabilities[f"<0x{b:02X}>"] for b in s[j - 1].encode())
+            total += p
+            here.append((j - 1, "", p))
+        a.append(total)
+        edges.append(here)
+    share = [0.0] * n + [float(times)]  # the posterior that a boundary is here
+    for j in range(n, 0, -1):
+        if m := share[j]:
+            m /= a[j]
+            for i, piece, p in edges[j - 1]:
+                p *= m
+                share[i] += p
+                if piece:
+                    sums[piece] += p
+                else:
+                    for b in s[j - 1].encode():
+                        sums[f"<0x{b:02X}>"] += p
+
+
+def _add_expected_long(word: str, times: int, logs: dict[str, float], longest: int, sums: dict[str, float]) -> None:
+    """The same in log space, for words whose probabilities could be too small for a plain number."""
     edges = _edges(word, logs, longest)
     n = len(edges) - 1
     a = [0.0] * (n + 1)
@@ -102,15 +139,14 @@ def add_expected(word: str, times: int, logs: dict[str, float], longest: int, su
         terms = [a[i] + x for i, _, x in edges[j]]
         top = max(terms)
         a[j] = top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
-    share = [0.0] * (n + 1)  # the posterior that a boundary is here
-    share[n] = float(times)
+    share = [0.0] * n + [float(times)]
     for j in range(n, 0, -1):
         if share[j] > 1e-12:
             for i, piece, x in edges[j]:
                 p = share[j] * math.exp(a[i] + x - a[j])
                 share[i] += p
                 for name in (piece,) if piece else [f"<0x{b:02X}>" for b in (SPACE + word)[j - 1].encode()]:
-                    sums[name] = sums.get(name, 0.0) + p
+                    sums[name] += p
 
 
 def _text(word: bytes) -> str:
@@ -129,13 +165,14 @@ def estimated(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> d
         now = dict(logs)
 
         def expect(batches: Iterator[pa.RecordBatch], now: dict[str, float] = now, longest: int = first.longest) -> Iterator[pa.RecordBatch]:
-            sums: dict[str, float] = {}
+            sums: dict[str, float] = defaultdict(float)
+            plain = {s: math.exp(x) for s, x in now.items()}
             for b in batches:
                 for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    add_expected(_text(w), c, now, longest, sums)
+                    add_expected(_text(w), c, plain, now, longest, sums)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["piece", "n"])
 
-        got = known.mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator()
+        got = known.mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         sums = {r["piece"]: r["n"] for r in got} | {END: float(ends)}
         total = sum(sums.values()) + ADDED * len(logs)
         logs = {s: float(f"{math.log((sums.get(s, 0.0) + ADDED) / total):.12g}") for s in logs}

@@ -11,6 +11,7 @@ from ..functions import cleaning
 from ..model import Table, table_of
 from ..operators import checks, discovery, impact, reconcile, requirements, revisions
 from ..operators.recipe import run_recipe
+from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -367,3 +368,17 @@ def finding_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = frame(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_key"))
     status = lambda m: F.when(F.col("match_key") % m == 0, "difference").otherwise("passed").alias("status")
     return checks.changes(o.select("match_key", status(3)), o.where("match_key % 5 <> 0").select("match_key", status(4))).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM events GROUP BY ALL""")
+def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the batch form of the hourly windows."""
+    return windows.tumbling(frame(spark, sf_dir, "events"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def ext_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the batch form of user sessions."""
+    return windows.sessions(frame(spark, sf_dir, "events"))
