@@ -132,15 +132,15 @@ def test_simhash(spark):
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("bits, hot", [(4, 2048), (4, 3), (6, 2048), (0, 2048)])
-def test_fingerprint_links_lose_none(spark, bits, hot):
+@pytest.mark.parametrize("bits, hot, block", [(4, 2048, 8192), (4, 3, 0), (4, 3, 8192), (6, 3, 5), (6, 2048, 8192), (0, 2048, 8192)])
+def test_fingerprint_links_lose_none(spark, bits, hot, block):
     rng = np.random.default_rng(5)
     centres = [int(x) for x in rng.integers(0, 2**63, 4)]
     fps = sorted({c ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 5)), replace=False)) for c in centres for _ in range(25)})
     part = list(range(len(fps)))
     for _ in range(12):
         part = [min(part[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= bits) for i in range(len(fps))]
-    links = simhash.fingerprint_links(spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long"), bits, hot)
+    links = simhash.fingerprint_links(spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long"), bits, hot, block)
     got = {r.node: r.component for r in simhash.connected_components(links).collect()}
     assert [got.get(i, i) for i in range(len(fps))] == part
 

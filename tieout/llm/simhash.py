@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from .components import connected_components
 
 BITS = 64
 #: Fingerprints under one key, or times the mean of all keys, beyond which pairs are not compared one by one.
-HOT, HOT_TIMES = 2048, 32
+HOT, HOT_TIMES = 128, 8
+#: Fingerprints in one block of such a key.
+BLOCK = 8192
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -95,13 +98,46 @@ def _chains_hold(a: Column, b: Column, bits: int, kind: Column) -> Column:
     return hold.otherwise(F.lit(False))
 
 
-def fingerprint_links(fps: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
+def _stars(bits: int):
+    """Of the fingerprints of one group: each with the smallest node of its component, (a, b) of them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        fp, node = group["fp"].to_numpy().view(np.uint64), group["node"].to_numpy()
+        left, rest = np.arange(len(fp)), fp  # places that are not reached yet, and their fingerprints
+        out_a, out_b = [], []
+        while len(left):
+            one, todo, left, rest = [left[-1:]], [int(left[-1])], left[:-1], rest[:-1]
+            while todo and len(left):
+                near = np.bitwise_count(rest ^ fp[todo.pop()]) <= bits
+                if near.any():
+                    one.append(left[near])
+                    todo += one[-1].tolist()
+                    left, rest = left[~near], rest[~near]
+            if len(one) > 1:
+                nodes = np.sort(node[np.concatenate(one)])
+                out_a.append(np.full(len(nodes) - 1, nodes[0]))
+                out_b.append(nodes[1:])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+    return run
+
+
+def _masks(kind: tuple[tuple[int, int], tuple[int, int]], most: int) -> list[int]:
+    """All words of at most most bits outside the kind's parts."""
+    free = [i for i in range(BITS) if not any(s <= i < s + w for s, w in kind)]
+    return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(free, n)]
+
+
+def fingerprint_links(fps: DataFrame, bits: int, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fps(fp, node) at most bits apart.
 
     fps has each fingerprint once. Pairs under a key with at most hot fingerprints are compared in the
-    join. Under a hot key each fingerprint is linked instead with every point bits / 2 away from it
-    outside the key's bits, and so with the smallest node that shares a point: two fingerprints share a
-    point exactly if they are close enough. That is linear in the fingerprints of the key.
+    join. A key with more is dealt out in blocks, and each two blocks give their components as stars, no
+    more links than they have fingerprints. Where a key has more blocks than a fingerprint has points
+    bits / 2 away from it outside the key's bits, each fingerprint is linked instead with the smallest node
+    that shares such a point: two fingerprints share a point exactly if they are close enough. That is
+    linear in the fingerprints of the key.
     """
     kinds = _key_parts(bits)
     keys = F.array(*[F.lit(k << 40).cast("long").bitwiseOR(F.shiftleft(_part(F.col("fp"), *p), 20)).bitwiseOR(_part(F.col("fp"), *q)) for k, (p, q) in enumerate(kinds)]) if bits > 2 else None
@@ -110,28 +146,30 @@ def fingerprint_links(fps: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
     rows = fps.where("node is not null").select("fp", "node", F.posexplode(keys).alias("kind", "key"))
     possible = len(kinds) * 2.0 ** min(p[1] + q[1] for p, q in kinds)
     hot = max(hot, int(HOT_TIMES * fps.count() * len(kinds) / possible))
-    full = rows.groupBy("key").count().where(F.col("count") > hot).select("key")
-    some_hot = bool(full.take(1))
-    usual = rows.join(full, "key", "left_anti") if some_hot else rows
+    full = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
+    short, long = bits // 2, bits - bits // 2  # of an odd number one of the two goes one bit further
+    free = min(BITS - p[1] - q[1] for p, q in kinds)
+    most = block * sum(comb(free, n) for n in range(long + 1))
+    largest = full.agg(F.max("n")).first()[0] or 0
+    usual = rows.join(full, "key", "left_anti") if largest else rows
     a, b = usual.alias("a"), usual.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _chains_hold(F.col("a.fp"), F.col("b.fp"), bits, F.col("a.kind")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
     links = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    if some_hot:
-        reach = [bits // 2, bits - bits // 2]
-        many = rows.join(full, "key", "left_semi")
-        for k, (p, q) in enumerate(kinds):
-            free = [i for i in range(BITS) if not any(s <= i < s + w for s, w in (p, q))]
-            masks = [sum(1 << i for i in c) for n in range(max(reach) + 1) for c in combinations(free, n)]
-            signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    if largest and block:
+        blocks = full.where(F.col("n") <= most).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        dealt = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        # a row meets each block once: with its own block as the first of the pair or as the second
+        dealt = dealt.select("key", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "fp", "node")
+        links = links.unionByName(dealt.groupBy("key", "first", "second").applyInArrow(_stars(bits), "a long, b long"))
+    if largest > most:
+        many = rows.join(full.where(F.col("n") > most), "key", "left_semi")
+        for k, kind in enumerate(kinds):
+            signed = [m - (1 << 64) if m >> 63 else m for m in _masks(kind, long)]
             table = F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
             points = many.where(F.col("kind") == k).select("node", "fp", F.explode(table).alias("mask")).select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"), F.bit_count("mask").alias("away"))
-            if reach[0] == reach[1]:
-                least = points.groupBy("point").agg(F.min("node").alias("least"))
-                met = points.join(least, "point").where("node <> least")
-            else:  # an odd number: one of the two goes one bit further
-                short = points.where(F.col("away") <= reach[0])
-                least = short.groupBy("point").agg(F.min("node").alias("least"))
-                met = points.join(least, "point").where("node <> least")
+            least = points.where(F.col("away") <= short).groupBy("point").agg(F.min("node").alias("least"))
+            met = points.join(least, "point").where("node <> least")
             links = links.unionByName(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
     return links.distinct()
 
