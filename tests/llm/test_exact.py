@@ -228,7 +228,11 @@ def test_long_texts_are_cut_into_parts_without_loss(spark, monkeypatch):
     x = "".join(random.choice("abcd ") for _ in range(900))
     texts = [x, "q" + x[100:700] + "r", x[::-1]]
     rows = list(suffix_dedup._found(100)(iter([__import__("pyarrow").RecordBatch.from_pydict({"id": [0, 1, 2], "text": texts})])))
-    covered = Counter((d, s) for b in rows for k, d, f, l in zip(*(b.column(c).to_pylist() for c in ("kind", "doc", "first", "last"))) for s in range(f, l + 1))
+    covered = Counter()
+    for b in rows:
+        doc, at, bh = (b.column(c).to_numpy() for c in ("doc", "at", "bh"))
+        last = np.where(at & suffix_dedup.REPEAT == suffix_dedup.REPEAT, (at >> 32) + bh, suffix_dedup._last_of_block(at))
+        covered.update((d, s) for d, f, l in zip(doc.tolist(), (at >> 32).tolist(), last.tolist()) for s in range(f, l + 1))
     assert set(covered) == {(d, s) for d, t in enumerate(texts) for s in range(len(t) - 99)}
 
 

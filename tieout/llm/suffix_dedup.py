@@ -118,20 +118,30 @@ def _merged_runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
     return doc[at], first[at], np.maximum.reduceat(last, at)
 
 
-NAMES = ["kind", "h", "bh", "doc", "first", "last", "gram"]
-ROW = "kind int, h long, bh long, doc long, first long, last long, gram long"
-REPEAT, BLOCK = 1, 0
+#: What is shuffled for a block: at holds its first string, and in WIDE bits each how far the last string and the gram are from it.
+#: A run of repeats has REPEAT in their place, a number to spread it by in h and the last string's distance in bh.
+NAMES = ["h", "bh", "doc", "at"]
+ROW = "h long, bh long, doc long, at long"
+WIDE = 16
+REPEAT = (1 << 2 * WIDE) - 1
 
 
-def _rows(kind: int, *columns) -> pa.RecordBatch:
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(c, np.int64)) for c in columns)], names=NAMES)
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=NAMES)
+
+
+def _packed_blocks(h: np.ndarray, bh: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+    return _rows(h, bh, doc, first << 2 * WIDE | (last - first) << WIDE | (gram - first))
+
+
+def _last_of_block(at: np.ndarray) -> np.ndarray:
+    return (at >> 2 * WIDE) + (at >> WIDE & (1 << WIDE) - 1)
 
 
 def _repeats(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
     doc, first, last = _merged_runs(doc, first, last)
     spread = _mix(doc.view(np.uint64) + first.view(np.uint64)).view(np.int64)
-    return _rows(REPEAT, spread, np.zeros_like(doc), doc, first, last, np.zeros_like(doc))
+    return _rows(spread, last - first, doc, first << 2 * WIDE | REPEAT)
 
 
 def _found(length: int):
@@ -142,7 +152,7 @@ def _found(length: int):
             for ids, offsets, data, ends in _parts(b, length):
                 h, bh, first, last, gram = blocks_of(np.frombuffer(data, np.uint8), np.array(ends), length)
                 piece = np.searchsorted(np.array(ends), first, side="right")
-                shift = np.array(offsets)[piece] - np.append(0, ends[:-1])[piece]
+                shift = (np.array(offsets) - np.array([0, *ends[:-1]]))[piece]
                 for out, c in zip(got, (h, bh, np.array(ids, np.int64)[piece], first + shift, last + shift, gram + shift)):
                     out.append(c)
             if not got[0]:
@@ -154,8 +164,9 @@ def _found(length: int):
             new[1:] = (h[1:] != h[:-1]) | (bh[1:] != bh[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             again = (doc != doc[head]) | (first != first[head])
-            kept = ~again
-            yield _rows(BLOCK, h[kept], bh[kept], doc[kept], first[kept], last[kept], gram[kept])
+            kept = np.nonzero(~again)[0]
+            kept = kept[np.lexsort((first[kept], doc[kept]))]  # neighbours have much in common, which packs better
+            yield _packed_blocks(h[kept], bh[kept], doc[kept], first[kept], last[kept], gram[kept])
             if again.any():
                 yield _repeats(doc[again], first[again], last[again])
 
@@ -163,43 +174,37 @@ def _found(length: int):
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, bh, doc, first): repeats of whole blocks, and the first blocks of each kind where a gram has several kinds."""
-    head: tuple | None = None  # the first row of the current (h, bh)
-    pending: list | None = None  # that row, until it is known whether its gram has another kind
+    """Of rows sorted by (h, bh, doc, at): repeats of whole blocks, and the first blocks of each kind where a gram has several kinds."""
+    pending: list | None = None  # the first row of the current (h, bh), until it is known whether its gram has another kind
     several = False
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(1, 7)]
-        settled = b.column(0).to_numpy() == REPEAT
+        cols = [b.column(i).to_numpy() for i in range(4)]
+        settled = cols[3] & REPEAT == REPEAT
         if settled.any():
-            yield _rows(REPEAT, *(c[settled] for c in cols))
-        cols = [c[~settled] for c in cols]
-        h, bh, doc, first, last, gram = cols
-        n = len(h)
-        if not n:
+            yield _rows(*(c[settled] for c in cols))
+            cols = [c[~settled] for c in cols]
+        if not len(cols[0]):
             continue
-        if head is not None:  # the row held back stands before this batch
-            h, bh, doc, first, last, gram = (np.append(np.array([p], np.int64), c) for p, c in zip(pending, cols))
-            n += 1
+        if pending is not None:  # the row held back stands before this batch
+            cols = [np.append(np.array([p], np.int64), c) for p, c in zip(pending, cols)]
+        h, bh, doc, at = cols
+        n = len(h)
         new = np.ones(n, bool)
         new[1:] = (h[1:] != h[:-1]) | (bh[1:] != bh[:-1])
-        at = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        again = (doc != doc[at]) | (first != first[at])
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        again = (doc != doc[head]) | (at != at[head])
         if again.any():
-            yield _repeats(doc[again], first[again], last[again])
+            yield _repeats(doc[again], at[again] >> 2 * WIDE, _last_of_block(at[again]))
         heads = np.nonzero(new)[0]
-        hh = h[heads]
-        same = hh[1:] == hh[:-1]
+        same = h[heads[1:]] == h[heads[:-1]]
         many = np.append(False, same) | np.append(same, False)
-        if head is not None and several:
-            many[0] = True
+        many[0] |= pending is not None and several
         out = heads[:-1][many[:-1]]
         if len(out):
-            yield _rows(BLOCK, h[out], bh[out], doc[out], first[out], last[out], gram[out])
-        k = heads[-1]
-        pending = [c[k] for c in (h, bh, doc, first, last, gram)]
-        several, head = bool(many[-1]), (h[k], bh[k])
-    if head is not None and several:
-        yield _rows(BLOCK, *([p] for p in pending))
+            yield _rows(*(c[out] for c in cols))
+        pending, several = [c[heads[-1]] for c in cols], bool(many[-1])
+    if pending is not None and several:
+        yield _rows(*([p] for p in pending))
 
 
 class Suffixes:
@@ -347,15 +352,19 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", most_sorted: int = SORTED) -> DataFrame:
     """(doc, first, last): runs of starts of strings of length bytes that also start earlier (smaller id, or same id and smaller start)."""
-    if length <= GRAM:
-        raise ValueError(f"strings must be longer than {GRAM} bytes")
+    if not GRAM < length < 1 << WIDE:
+        raise ValueError(f"strings must be longer than {GRAM} bytes and shorter than {1 << WIDE}")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_found(length), ROW)
-    settled = checkpointed(found.repartition("h").sortWithinPartitions("h", "bh", "doc", "first").mapInArrow(_settled, ROW))
-    whole = settled.where(F.col("kind") == REPEAT).select("doc", "first", "last")
-    asked = settled.where(F.col("kind") == BLOCK).groupBy("doc").agg(F.collect_list(F.struct("h", "first", "last", "gram")).alias("asked"))
+    settled = checkpointed(found.repartition("h").sortWithinPartitions("h", "bh", "doc", "at").mapInArrow(_settled, ROW))
+    first = F.shiftright("at", 2 * WIDE)
+    repeat = F.col("at").bitwiseAND(F.lit(REPEAT)) == REPEAT
+    whole = settled.where(repeat).select("doc", first.alias("first"), (first + F.col("bh")).alias("last"))
+    part = lambda by: first + F.shiftright("at", by).bitwiseAND(F.lit((1 << WIDE) - 1))
+    differ = settled.where(~repeat).select("h", "doc", first.alias("first"), part(WIDE).alias("last"), part(0).alias("gram"))
+    asked = differ.groupBy("doc").agg(F.collect_list(F.struct("h", "first", "last", "gram")).alias("asked"))
     blocks = rows.join(asked, F.col("id") == F.col("doc")).select("id", "text", "asked").mapInArrow(lambda it: _cut(it, length), "h long, doc long, first long, gram int, data binary")
-    many = settled.where(F.col("kind") == BLOCK).groupBy("h").count().where(F.col("count") > most_sorted).select("h")
+    many = differ.groupBy("h").count().where(F.col("count") > most_sorted).select("h")
     blocks = checkpointed(blocks.distinct())
     some = bool(many.take(1))
     few = blocks.join(many, "h", "left_anti") if some else blocks
