@@ -293,7 +293,7 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
 
 def _sorted_groups(length: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group[c].to_pylist() for c in ("doc", "first", "gram", "data"))))
+        rows = sorted(set(zip(*(group[c].to_pylist() for c in ("doc", "first", "gram", "data")))))
         doc, first, last = [], [], []
         for (d, f, _, _), starts in zip(rows, shared_strings([(t, g) for _, _, g, t in rows], length)):
             for a, b in _runs(starts):
@@ -306,10 +306,14 @@ def _sorted_groups(length: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, asked) -> a row for each block asked for, with its bytes."""
+    """(id, text, asked) -> a row for each block asked for, with its bytes; a row like the one before is left out."""
+    before = None
     for b in batches:
         h, doc, first, gram, data = [], [], [], [], []
         for d, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            if not asked or (d, text) == before:
+                continue
+            before = d, text
             t = (text.as_py() or "").encode()
             for a in asked:
                 h.append(a["h"])
@@ -365,8 +369,8 @@ def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     asked = differ.groupBy("doc").agg(F.collect_list(F.struct("h", "first", "last", "gram")).alias("asked"))
     blocks = rows.join(asked, F.col("id") == F.col("doc")).select("id", "text", "asked").mapInArrow(lambda it: _cut(it, length), "h long, doc long, first long, gram int, data binary")
     many = differ.groupBy("h").count().where(F.col("count") > most_sorted).select("h")
-    blocks = checkpointed(blocks.distinct())
     some = bool(many.take(1))
+    blocks = checkpointed(blocks) if some else blocks
     few = blocks.join(many, "h", "left_anti") if some else blocks
     runs = whole.unionByName(few.groupBy("h").applyInArrow(_sorted_groups(length), "doc long, first long, last long"))
     if some:
