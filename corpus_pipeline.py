@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from tieout.llm.common import table
 from tieout.llm.mixing import remixed
+from tieout.llm.near_copies import one_of_near_copies
 from tieout.llm.piece_codec import encode_decode
 from tieout.llm.secret_scan import redacted
-from tieout.llm.simhash import one_of_each_group
 from tieout.llm.toxicity import without_toxic
 
-#: Near-duplicates: words in a shingle, and bits in which fingerprints differ at most (58 of 64 alike: 0.9).
-SHINGLE, BITS = 5, 6
+#: Near-duplicates: words in a shingle, and the least share of common shingles among all of two texts.
+SHINGLE, SIMILARITY = 5, "0.8"
 #: Target shares of words by the quality mark of the labelled table.
 SHARES = {"quality0": 0.12, "quality1": 0.88}
 
@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return one_of_each_group(docs, SHINGLE, BITS)
+    return one_of_near_copies(docs, SHINGLE, SIMILARITY)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
