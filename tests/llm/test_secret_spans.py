@@ -1,0 +1,13 @@
+"""Secrets beside other spans, in allowed surroundings and in very long runs."""
+
+from tieout.llm import secret_scan
+
+
+def spans(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.spans for r in secret_scan.secret_spans(df).orderBy("doc_id").collect()]
+
+
+def test_long_joined_run_is_scanned(spark):
+    run = "ab-" * 33_333 + "x7"
+    assert spans(spark, run) == [""]

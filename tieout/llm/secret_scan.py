@@ -25,7 +25,7 @@ ALLOWED = (
     r"^[0-9_=+/-]+$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     r"|^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]"
-    r"|^/?(?:[A-Za-z]+[/_=+-]+)+[A-Za-z]*[0-9]{1,4}$"
+    r"|^/?(?:[A-Za-z]++[/_=+-]++)++[A-Za-z]*+[0-9]{1,4}$"  # possessive: java.util.regex backtracks into a group by recursion
     r"|(?i:example|sample|dummy|placeholder|changeme|redacted|0123456789|abcdefgh|xxxxxx)"
 )
 #: Parts of a bit to which c * log2(c) is rounded, so that sums don't depend on their order.
