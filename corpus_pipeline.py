@@ -40,8 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and checksums of them and of their decoded text."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Ids of each text and its decoded text, and checksums of both."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("pieces", pieces)]
