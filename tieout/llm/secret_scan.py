@@ -15,18 +15,25 @@ HEX = r"[0-9a-f]{24,}"
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
 
-#: A candidate string is a maximal run of these with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A candidate string is a maximal run of these.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy in bits of a window, for candidates of hexadecimal digits alone and for others.
 HEX_BITS, MIXED_BITS = 3.0, 3.8
-#: Candidates that are no secrets: numbers, UUIDs, dates and times, words joined by marks, stand-ins.
+#: A part with a capital: two small letters at least, or a short word. A word: such parts, small letters, capitals with
+#: an ending, or one letter.
+#: All repeats are possessive: java.util.regex backtracks into a group by recursion.
+_H = r"[A-Z](?:[a-z]{2,}+|(?<=[ABDIMNOTU])[bdfmnopsty])"
+_W = rf"(?:(?:[a-z]{{2,}}+)?+(?:{_H})++|[a-z]{{2,}}+|[A-Z]{{2,}}+[a-z]*+|[A-Za-z])"
+#: Whole candidates, and whole spans, that are no secrets: numbers, UUIDs, dates and times, words joined by marks or
+#: capitals (a date may stand before them), stand-ins. Nothing beside these may stand in the same string.
 ALLOWED = (
     r"^[0-9_=+/-]+$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]"
-    r"|^/?(?:[A-Za-z]++[/_=+-]++)++[A-Za-z]*+[0-9]{1,4}$"  # possessive: java.util.regex backtracks into a group by recursion
-    r"|(?i:example|sample|dummy|placeholder|changeme|redacted|0123456789|abcdefgh|xxxxxx)"
+    r"|^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9TZ_+-]*$"
+    rf"|^(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=[/_=+-]))?[/_=+-]*+(?:{_W}[/_=+-]++)++{_W}?+[0-9]{{0,4}}+$"
+    rf"|^(?:[a-z]{{2,}}+)?+(?:{_H})++[0-9]{{0,4}}+$"
+    r"|(?i:^(?:example|sample|dummy|placeholder|changeme|redacted|0123456789|abcdefgh(?:ijklmnopqrstuvwxyz)?+|x{6,}+|(?<![a-z])(?:access|api|key|token|secret|password|value|your|my|test|id)(?![a-z])|[0-9]{1,4}(?![0-9])|[/_=+-])++$)"
 )
 #: Parts of a bit to which c * log2(c) is rounded, so that sums don't depend on their order.
 SCALE = 1_000_000
@@ -89,11 +96,26 @@ def _entropy_spans(word: Column, start: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), zero, step, lambda acc: acc["found"])
 
 
+def _left(span: Column, base: Column) -> Column:
+    """What is left of span without the spans of base, which are sorted."""
+    zero = F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("found"), span["end"].alias("end"), span["kind"].alias("kind"))
+
+    def piece(acc, end):
+        return F.when(acc["at"] < end, F.array_append(acc["found"], F.struct(acc["at"].alias("start"), acc["kind"].alias("kind"), end.alias("end")))).otherwise(acc["found"])
+
+    def step(acc, b):
+        found = piece(acc, F.least(b["start"], acc["end"]))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), found.alias("found"), acc["end"].alias("end"), acc["kind"].alias("kind"))
+
+    return F.aggregate(base, zero, step, lambda acc: piece(acc, acc["end"]))
+
+
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with _base and _spans, arrays of (start, kind, end) in code points, sorted; every other column stays.
 
     _base are the leftmost non-overlapping matches of each base kind that are long enough; _spans adds
-    the entropy spans that touch none of them.
+    what is left of the entropy spans without them. Neither a candidate nor a part that is left counts
+    where all of it is allowed.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = ("_assign", "_value", "_access", "_hex", "_words")
@@ -122,7 +144,9 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     asked = F.filter(F.arrays_zip(F.col("_words").alias("word"), F.col("_at").alias("at")), lambda c: ~c["word"].rlike(ALLOWED))
     extra = F.flatten(F.transform(asked, lambda c: _entropy_spans(c["word"], c["at"]["start"])))
-    extra = F.when(F.size("_words") > 0, F.filter(extra, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.array().cast(SPAN))
+    left = F.when(F.size("_base") > 0, F.flatten(F.transform(extra, lambda s: _left(s, F.col("_base"))))).otherwise(extra)
+    left = F.filter(left, lambda s: ~F.substr(text, s["start"] + 1, s["end"] - s["start"]).rlike(ALLOWED))
+    extra = F.when(F.size("_words") > 0, left).otherwise(F.array().cast(SPAN))
     return df.withColumn("_spans", F.sort_array(F.concat(F.col("_base"), extra))).drop(*own, "_at")
 
 
