@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed, shared_checkpoints  # noqa: F401
+
 #: Words are maximal runs of anything but ASCII white space, as bytes.split() also has it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,24 +31,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only a local master without that setting gets a folder of this machine."""
-    sc = spark.sparkContext
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage by files in the shared folder."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def packed(docs: DataFrame, id_col: str) -> DataFrame:
     """(_id, _row): each row of docs as one struct, so that no column of it clashes with an operator's own."""
     return docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))

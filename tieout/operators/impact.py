@@ -5,35 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 
-def reached(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+#: Rounds after which what was seen becomes one table again.
+CUT = 8
+
+
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(start, node, depth): every node that a path from start leads to, at its least depth. Edges are (source, target).
 
-    The frontier moves one edge a round and only new pairs go on, so cycles end; only their count comes back.
+    The frontier moves one edge a round until it is empty; only new pairs go on, so cycles end. Each
+    frontier is checkpointed, and what was seen every few rounds, so that plans stay short on long paths.
     """
-    e = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
-    front = start.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
-    seen = front
-    for depth in range(1, most + 1):
+    e = checkpointed(edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct())
+    front = seen = checkpointed(start.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while True:
+        depth += 1
         new = front.join(e, F.col("node") == F.col("_s")).select("start", F.col("_t").alias("node")).distinct()
-        new = new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)).cache()
-        if not new.take(1):
-            break
-        seen, front = seen.unionByName(new), new
-    return seen.where("depth > 0")
+        front = checkpointed(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if not front.take(1):
+            return seen.where("depth > 0")
+        seen = seen.unionByName(front)
+        if depth % CUT == 0:
+            seen = checkpointed(seen)
 
 
 def cyclic(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node): nodes that a path leads back to. Nothing that depends on one is independent of a change."""
-    e = edges.select("source", "target").distinct()
-    while most:  # nodes without a way in or out are no part of a cycle
-        inner = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target").cache()
+    """(node): nodes that a path leads back to. Nothing that depends on one is independent of a change.
+
+    The most rounds of trimming only make the search smaller. It doubles the length of known paths until no pair is new.
+    """
+    e = checkpointed(edges.select("source", "target").where("source is not null and target is not null").distinct())
+    for _ in range(most):  # nodes without a way in or out are no part of a cycle
+        inner = checkpointed(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
         if inner.count() == e.count():
             break
-        e, most = inner, most - 1
-    paths = reached(e, e.select(F.col("source").alias("start")))
-    backs = paths.alias("p").join(e.alias("e"), (F.col("p.node") == F.col("e.source")) & (F.col("p.start") == F.col("e.target"))).select(F.col("start").alias("node"))
-    return backs.unionByName(e.where("source = target").select(F.col("source").alias("node"))).distinct()
+        e = inner
+    paths, before = e, -1
+    while (now := paths.count()) != before:
+        before = now
+        longer = paths.alias("p").join(paths.alias("q"), F.col("p.target") == F.col("q.source")).select("p.source", "q.target")
+        paths = checkpointed(paths.unionByName(longer).distinct())
+    return paths.where("source = target").select(F.col("source").alias("node"))
 
 
 def route(required_failed: Column, required_unknown: Column, evidence_complete: Column, context_complete: Column, unverifiable: Column, disagreement: Column) -> Column:
