@@ -34,3 +34,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def packed(docs: DataFrame, id_col: str) -> DataFrame:
     """(_id, _row): each row of docs as one struct, so that no column of it clashes with an operator's own."""
     return docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, hash, row): each row of docs as one struct beside a key that no other row has, the same whenever it is read."""
+    return checkpointed(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row")))
+
+
+def one_of_each(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of rows, as keyed gives them, one for each component of parts(key, component): with the smallest id, nulls last, then by its text's hash and key."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "key")
+    first = rows.select("key", "id", "hash").join(parts, "key").groupBy("component").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.key").alias("key")), "key", "left_semi").select("row.*")

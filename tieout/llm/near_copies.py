@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, keyed, one_of_each
 from .components import connected_components
 
 BANDS, ROWS = 24, 6
@@ -57,15 +57,13 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _prints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, keys, text_hash = [], [], []
+            own, keys = [], []
             for t in b.column(1):
-                t = t.as_py() or ""
-                h = shingles(t, width)
+                h = shingles(t.as_py() or "", width)
                 own.append(xxhash.xxh128_digest(h.astype("<u8").tobytes()))
                 keys.append(bands(h))
-                text_hash.append(xxhash.xxh128_digest(t.encode()))
-            arrays = [b.column(0), pa.array(own, pa.binary()), pa.array(text_hash, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "own", "text_hash", "bands"])
+            arrays = [b.column(0), pa.array(own, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "own", "bands"])
 
     return run
 
@@ -117,14 +115,14 @@ def _linked(similarity: Fraction):
 
 
 def near_copies(rows: DataFrame, width: int, similarity: str, block: int = BLOCK) -> DataFrame:
-    """(key, text_hash, component): one row for each row of rows(key long, text), key being different in each.
+    """(key, component): one row for each row of rows(key long, text), key being different in each.
 
     Rows are linked whose sets of shingles are alike (common by all) at least similarity; component is
     the smallest key reachable. Texts without words are alike. Rows with one set are joined before any
     pair is looked for. rows must be checkpointed: keys are read more than once.
     """
     half = max(1, block // 2)
-    prints = checkpointed(rows.select("key", "text").mapInArrow(_prints(width), "key long, own binary, text_hash binary, bands array<long>"))
+    prints = checkpointed(rows.select("key", "text").mapInArrow(_prints(width), "key long, own binary, bands array<long>"))
     nodes = prints.groupBy("own").agg(F.min("key").alias("node"))
     kinds = prints.join(nodes, "own")
     keys = checkpointed(kinds.where("key = node").select("node", F.explode("bands").alias("band")))
@@ -149,13 +147,10 @@ def near_copies(rows: DataFrame, width: int, similarity: str, block: int = BLOCK
         more = dealt.groupBy("rep", "first", "second").applyInArrow(_linked(Fraction(similarity)), "a long, b long")
         links = links.unionByName(more)
     found = connected_components(links).withColumnRenamed("node", "_node")
-    return kinds.join(found, F.col("node") == F.col("_node"), "left").select("key", "text_hash", F.coalesce("component", "node").alias("component"))
+    return kinds.join(found, F.col("node") == F.col("_node"), "left").select("key", F.coalesce("component", "node").alias("component"))
 
 
 def one_of_near_copies(docs: DataFrame, width: int, similarity: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row of docs for each component of near_copies: that with the smallest id, nulls last, then by the text's hash and the row's place."""
-    rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.struct("*").alias("row")))
-    parts = near_copies(rows.select("key", F.col(f"row.`{text_col}`").alias("text")), width, similarity, block)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "key")
-    kept = parts.join(rows.select("key", "id"), "key").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
-    return rows.join(kept, "key", "left_semi").select("row.*")
+    """One row of docs for each component of near_copies: that with the smallest id, nulls last. Repeated rows and rows of one id are told apart."""
+    rows = keyed(docs, id_col, text_col)
+    return one_of_each(rows, near_copies(rows.select("key", F.col(f"row.`{text_col}`").alias("text")), width, similarity, block))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed
+from .common import checkpointed, keyed, one_of_each
 from .components import connected_components
 
 BITS = 64
@@ -194,7 +194,7 @@ def simhash_groups(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str =
 
 
 def one_of_each_group(docs: DataFrame, width: int, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; a repeated row stays as often as it comes, rows with a null id go."""
-    groups = simhash_groups(docs, width, bits, id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return packed(docs, id_col).join(kept, F.col("_id") == F.col("_kept"), "left_semi").select("_row.*")
+    """One row of docs for each component: that with the smallest id, nulls last. Repeated rows and rows of one id are told apart."""
+    rows = keyed(docs, id_col, text_col)
+    groups = simhash_groups(rows.select("key", F.col(f"row.`{text_col}`").alias("text")), width, bits, "key", "text")
+    return one_of_each(rows, groups.select("key", F.col("component_id").alias("component")))
