@@ -163,6 +163,31 @@ def test_embedding_links(spark, block):
     assert any(near.values())
 
 
+def test_equal_vectors_are_one_point(spark):
+    n = 20_000
+    same = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.lit(float(i)) for i in range(8)]).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    more = spark.createDataFrame([(n, [float(i) for i in range(7)] + [7.1], 1), (n + 1, [-1.0] * 8, 1)], "vec_id long, embedding array<float>, label int")
+    got = {(r.n_links, r.component_id): r.n for r in embedding_links.embedding_links(same.unionByName(more)).groupBy("n_links", "component_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(n, 0): n + 1, (0, n + 1): 1}
+    assert embedding_links.embedding_links(more.limit(0)).count() == 0
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from tieout.llm import components
+
+    monkeypatch.setattr(components, "LEAST_HUB", 4)
+    monkeypatch.setattr(components, "HUBS", 1 << 40)
+    random.seed(9)
+    edges = [(500, i) for i in range(1, 60)] + [(random.randint(1000, 1100), random.randint(1000, 1100)) for _ in range(60)] + [(7, 7), (None, 3)]
+    part = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(120):
+        for x, y in edges:
+            if x in part and y in part:
+                part[x] = part[y] = min(part[x], part[y])
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == part
+
+
 def test_lattice_scores(spark):
     texts = ["the cat the dog", "The \x0b rare日word", None, "", "cat unseen", "the cat the dog"] * 3
     got = by_id(lattice_lm.lattice_scores(docs(spark, texts), PIECES, held_out(F.col("doc_id"), 7, 2), frequent=4))
@@ -177,19 +202,46 @@ def test_lattice_scores(spark):
     assert lattice_lm.lattice_scores(docs(spark, []), PIECES, F.lit(False)).count() == 0
 
 
-def test_lattice_sums_over_all_segmentations():
-    logs = lattice_lm.pieces(PIECES).first
+def brute_log10(word, logs):
+    """The log of the sum over all segmentations, each spelt out."""
 
     def total(s):
-        return 1.0 if not s else sum(math.exp(logs[s[:k]]) * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in logs)
-
-    for word in ("the", "ting", "abcde"):
-        assert lattice_lm.log_probability(word, logs, 16) == pytest.approx(math.log(total("▁" + word)))
-        sums, slow = Counter(), Counter()
-        lattice_lm.add_expected(word, 2, {s: math.exp(x) for s, x in logs.items()}, logs, 16, sums)
-        lattice_lm._add_expected_long(word, 2, logs, 16, slow)
-        assert sum(n * len(s) for s, n in sums.items()) == pytest.approx(2 * (len(word) + 1))
-        assert all(sums[s] == pytest.approx(slow[s]) for s in slow)
+        if not s:
+            return 1.0
+        out = sum(math.exp(logs[s[:k]]) * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in logs)
+        return out if s[0] in logs else out + math.exp(sum(logs[f"<0x{b:02X}>"] for b in s[0].encode())) * total(s[1:])
+
+    return math.log10(total("▁" + word))
+
+
+def test_lattice_sums_over_all_segmentations():
+    logs = lattice_lm.pieces(PIECES).logs
+    assert sum(map(math.exp, logs.values())) == pytest.approx(1)
+    for word in ("the", "ting", "abcde", "rare日x𝒳"):
+        assert lattice_lm.log_probability(word, logs, 16) / math.log(10) == pytest.approx(brute_log10(word, logs))
+    long = lattice_lm.log_probability("ab" * 5000, logs, 16)  # no underflow
+    assert math.isfinite(long) and long < -5000
+
+
+def test_scores_of_both_kinds_of_file():
+    assert lattice_lm.log_weights([-1e9, 0.0, -1.0, -1e9]) == [-math.log(202), -math.log(200), -math.log(201), -math.log(202)]
+    assert lattice_lm.log_weights([-3.5, -2.25]) == [-3.5, -2.25]
+
+
+@pytest.mark.parametrize("frequent", [4, 1 << 19])
+def test_lattice_scores_of_whole_documents(spark, frequent):
+    texts = ["the cat", "The dog\tthe cat", None, "", "日x", "the cat", "  "] * 2
+    got = by_id(lattice_lm.lattice_scores(docs(spark, texts), PIECES, held_out(F.col("doc_id"), 7, 2), frequent=frequent))
+    logs = lattice_lm.pieces(PIECES).logs
+    for i, t in enumerate(texts):
+        words = (t or "").lower().split()
+        assert got[i].score == pytest.approx(sum(brute_log10(w, logs) for w in words) + logs[lattice_lm.END] / math.log(10))
+
+
+def test_lattice_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, "the cat"), (1, "a" * 100_000), (1, "a" * 100_000), (2, "x " * 20_000)], "doc_id long, text string")
+    rows = lattice_lm.lattice_scores(df, PIECES, held_out(F.col("doc_id"), 7, 2)).collect()
+    assert len(rows) == 4 and all(math.isfinite(r.score) and r.n_known == r.n_tokens for r in rows)
 
 
 def brute_removed(texts, length):

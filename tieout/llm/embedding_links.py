@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: Mean vectors of a label under one hash, and vectors compared in one task step at most.
 BUCKET, BLOCK = 48, 1024
+#: Bytes of one code.
+CODE = 4
 #: Share of the pairs at the least cosine that no table may bring together.
 MISS = 1e-4
 
@@ -32,27 +34,46 @@ def _planes(size: int, bits: int, tables: int) -> np.ndarray:
 
 
 def _hashed(bits: int, tables: int):
+    """(id, n, label, v) -> the same with codes: the codes of v in all tables, CODE bytes each."""
     powers = 1 << np.arange(bits)
 
     def run(batches):
         for b in batches:
             codes = []
-            for v in b.column(2):
+            for v in b.column(3):
                 x = np.array(v.as_py(), float)
-                codes.append((((_planes(len(x), bits, tables) @ x) > 0).reshape(tables, bits) @ powers).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int32()))], names=["id", "label", "v", "codes"])
+                codes.append(((((_planes(len(x), bits, tables) @ x) > 0).reshape(tables, bits) @ powers).astype(">u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary())], names=["id", "n", "label", "v", "codes"])
 
     return run
 
 
+def _spanning(near: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges (a, b) that join what the symmetric matrix near joins: each id with the smallest of its part."""
+    left, out_a, out_b = np.ones(len(ids), bool), [], []
+    for at in np.argsort(ids, kind="stable").tolist():
+        if not left[at]:
+            continue
+        left[at] = False
+        todo, mine = [at], []
+        while todo:
+            new = np.nonzero(near[todo].any(0) & left)[0]
+            left[new] = False
+            todo = new.tolist()
+            mine += todo
+        out_a += [int(ids[at])] * len(mine)
+        out_b += ids[mine].tolist()
+    return out_a, out_b
+
+
 def _compared(cosine: float):
     """Of one bucket, or of two blocks of a large one: links of each vector that no earlier table has, and edges that span the linked."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        t, first, second = key[2].as_py(), key[4].as_py(), key[5].as_py()
-        ids, block = np.array(group["id"]), np.array(group["block"])
+        first, second = key[3].as_py(), key[4].as_py()
+        ids, block, times = (group[c].to_numpy() for c in ("id", "block", "times"))
         sizes = np.array([len(v) for v in group["v"]])
-        codes = np.array(group["codes"].to_pylist())
+        earlier = np.frombuffer(b"".join(group["earlier"].to_pylist()), ">u4").reshape(len(ids), -1)
         out_id, out_n, edge_a, edge_b = [], [], [], []
         for size in np.unique(sizes):
             at = np.nonzero(sizes == size)[0]
@@ -60,34 +81,24 @@ def _compared(cosine: float):
             x /= np.sqrt((x * x).sum(1, keepdims=True))
             left = np.nonzero(block[at] == first)[0]
             right = np.nonzero(block[at] == second)[0]
-            i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-            i, j = left[i], right[j]
-            if first == second:
-                i, j = i[i < j], j[i < j]
-            new = ~(codes[at][i, :t] == codes[at][j, :t]).any(1) if t else np.ones(len(i), bool)
-            a, b = at[i[new]], at[j[new]]
-            n = np.bincount(np.concatenate((a, b)), minlength=len(ids)) if len(a) else np.zeros(len(ids), int)
+            near = np.zeros((len(at), len(at)), bool)
+            near[np.ix_(left, right)] = x[left] @ x[right].T >= cosine
+            near |= near.T
+            np.fill_diagonal(near, False)
+            for codes in earlier[at].T:  # pairs that an earlier table brought together are counted there
+                near &= codes[:, None] != codes[None, :]
+            n = near @ times[at]
             some = np.nonzero(n)[0]
-            out_id += ids[some].tolist()
+            out_id += ids[at][some].tolist()
             out_n += n[some].tolist()
-            parent: dict[int, int] = {}
-
-            def root(v: int) -> int:
-                while (p := parent.setdefault(v, v)) != v:
-                    parent[v] = v = parent[p]
-                return v
-
-            for p, q in zip(ids[a].tolist(), ids[b].tolist()):
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    edge_a.append(p)
-                    edge_b.append(q)
-        n_rows, n_edges = len(out_id), len(edge_a)
+            a, b = _spanning(near, ids[at])
+            edge_a += a
+            edge_b += b
         none = lambda n: pa.nulls(n, pa.int64())
+        rows, edges = none(len(out_id)), none(len(edge_a))
         return pa.table({
-            "id": pa.concat_arrays([pa.array(out_id, pa.int64()), none(n_edges)]), "n": pa.concat_arrays([pa.array(out_n, pa.int64()), none(n_edges)]),
-            "a": pa.concat_arrays([none(n_rows), pa.array(edge_a, pa.int64())]), "b": pa.concat_arrays([none(n_rows), pa.array(edge_b, pa.int64())]),
+            "id": pa.concat_arrays([pa.array(out_id, pa.int64()), edges]), "n": pa.concat_arrays([pa.array(out_n, pa.int64()), edges]),
+            "a": pa.concat_arrays([rows, pa.array(edge_a, pa.int64())]), "b": pa.concat_arrays([rows, pa.array(edge_b, pa.int64())]),
         })
 
     return run
@@ -97,38 +108,47 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     """(vec_id, n_links, component_id, kept): one row for each row of vectors.
 
     Vectors of one label and length are linked if their cosine in double precision is at least cosine.
-    Pairs are those that random hyperplanes hash alike in one of several tables; bits and tables follow
-    the largest label, so that a pair at the least cosine is missed with probability MISS (nearer pairs
-    far less often). n_links counts the other ids linked directly, each pair in the first table that has
-    it; component_id is the smallest id reachable. A bucket of more than block vectors is compared in
-    pairs of blocks, so no task holds more than two blocks; what leaves it are counts and spanning edges.
-    Null labels, null, empty and zero vectors and those with a null or non-finite component link with
-    nothing; an id that comes twice counts once, with its smallest label and vector, and each of its rows
-    gets the result; rows with a null id have no links and no component; other columns are ignored; an
-    empty table gives an empty result.
+    Equal vectors of a label are one point, with as many links among themselves as they are; only points
+    are searched. Pairs are those that random hyperplanes hash alike in one of several tables; bits and
+    tables follow the largest label, so that a pair at the least cosine is missed with probability MISS
+    (nearer pairs far less often). n_links counts the other ids linked directly, each pair in the first
+    table that has it; component_id is the smallest id reachable. A bucket of more than block points is
+    compared in pairs of blocks, so no task holds more than two blocks; what leaves it are counts and
+    spanning edges. Null labels, null, empty and zero vectors and those with a null or non-finite component
+    link with nothing; an id that comes twice counts once, with its smallest label and vector, and each of
+    its rows gets the result; rows with a null id have no links and no component; other columns are
+    ignored; an empty table gives an empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    fine = F.forall("v", number) & F.exists("v", lambda x: x != 0)
     usable = rows.where("id is not null and label is not null and v is not null").where(fine)
     usable = usable.groupBy("id").agg(F.min(F.struct("label", "v")).alias("s")).select("id", "s.label", "s.v")
-    largest = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    points = checkpointed(usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(largest, cosine)
-    kind = usable.schema["label"].dataType.simpleString()
-    # 4 bytes a component hold what the column holds where it is one of floats
-    v_kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
-    hashed = usable.mapInArrow(_hashed(bits, tables), f"id long, label {kind}, v array<double>, codes array<int>").withColumn("v", F.col("v").cast(v_kind))
-    spread = hashed.select("id", "label", "v", "codes", F.posexplode("codes").alias("t", "code"))
-    sizes = hashed.select("label", F.posexplode("codes").alias("t", "code")).groupBy("label", "t", "code").count().where(F.col("count") > 1)
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("label", "v")}
+    hashed = points.select("id", "n", "label", "v").mapInArrow(_hashed(bits, tables), f"id long, n long, label {kinds['label']}, v {kinds['v']}, codes binary")
+    # a row goes to each table with its code there and those of earlier tables
+    t = F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))
+    code = F.expr(f"substring(codes, t * {CODE} + 1, {CODE})")
+    sizes = hashed.select("label", "codes", t.alias("t")).select("label", "t", code.alias("code")).groupBy("label", "t", "code").count().where(F.col("count") > 1)
     sizes = sizes.select(F.col("label").alias("l"), F.col("t").alias("u"), F.col("code").alias("c"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    spread = hashed.select("id", F.col("n").alias("times"), "label", "v", "codes", t.alias("t")).withColumn("code", code).withColumn("earlier", F.expr(f"substring(codes, 1, t * {CODE})")).drop("codes")
     dealt = spread.join(sizes, (F.col("label") == F.col("l")) & (F.col("t") == F.col("u")) & (F.col("code") == F.col("c")))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a row meets each block once: with its own block as the first of the pair or as the second
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("id", "label", "v", "codes", "t", "code", "block", other.alias("other")).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-    found = dealt.select("label", "code", "t", "block", "first", "second", "id", "v", "codes").groupBy("label", "code", "t", F.lit(0).alias("z"), "first", "second").applyInArrow(_compared(cosine), "id long, n long, a long, b long")
+    dealt = dealt.select("id", "times", "label", "v", "earlier", "t", "code", "block", other.alias("other")).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    found = dealt.groupBy("label", "code", "t", "first", "second").applyInArrow(_compared(cosine), "id long, n long, a long, b long")
     found = checkpointed(found)
-    counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n_links"))
     parts = connected_components(found.where("a is not null").select("a", "b")).withColumnRenamed("node", "id")
-    out = rows.select("id").join(counts, "id", "left").join(parts, "id", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    of_points = points.select("id", "n").join(counts, "id", "left").join(parts, "id", "left")
+    of_points = of_points.select(F.col("id").alias("point"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    several = points.where("n > 1").select(F.col("label").alias("l"), F.col("v").alias("w"), F.col("id").alias("point"))
+    copies = usable.join(several, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).where("id <> point").select("id", "point")
+    result = of_points.select(F.col("point").alias("id"), "n_links", "component_id").unionByName(copies.join(of_points, "point").drop("point"))
+    out = rows.select("id").join(result, "id", "left")
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

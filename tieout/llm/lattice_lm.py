@@ -1,17 +1,20 @@
 """Log probabilities of whole texts under a subword lattice: all segmentations count, none is chosen.
 
-The pieces and their order come from an existing vocabulary. A text is a chain of pieces drawn one by
-one; its probability is the sum over all chains that spell it. No piece reaches across the start of a
-word, so the sum is a product over words of the sums over their segmentations, which a forward recursion
-in log space works out once for each different word of the corpus. The piece probabilities start from
-the ranks that the vocabulary's scores give and are re-estimated on the training words (the expected
-counts under all segmentations), so they are learnt from every training document.
+The pieces and their weights come from an existing vocabulary file alone. A text is a chain of pieces drawn
+one by one; its probability is the sum over all chains that spell it. No piece reaches across the start of a
+word, so the sum is a product over words of the sums over their segmentations, which a forward recursion in
+log space works out once for each different word of the corpus.
+
+How a file's scores are read: those of a unigram file are natural logarithms of probabilities. A file of the
+merge type has whole numbers in their place (0, -1, -2, ..., and one far below for pieces that no merge
+makes), which only rank the pieces; there a piece of rank r weighs 1 / (RANK + r), Zipf's law. Bytes and the end have no score of their own and weigh as much as the least piece. Weights are made to
+sum to 1 once; nothing of them is learnt. What is learnt are the word counts that base_score takes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,33 +30,35 @@ SPACE = "▁"
 FREQUENT = 1 << 19
 #: Longest frequent word in bytes, which bounds what is broadcast.
 FREQUENT_BYTES = 32
-#: Rounds of re-estimation, the count added to each piece, and the rank that halves a piece's first share.
-ROUNDS, ADDED, RANK = 2, 0.1, 200.0
+#: Where scores are ranks: the rank at which a piece weighs half as much as the first.
+RANK = 200.0
 #: Different words that a task counts before it passes them on.
 HELD = 300_000
-#: Longest word with its space mark that is re-estimated with plain numbers: its probability is no less than 1e-9 for each byte.
-PLAIN = 24
 LOG10 = math.log(10)
 END = "</s>"
 
 
+def log_weights(scores: list[float]) -> list[float]:
+    """The scores of a vocabulary as logarithms of weights, by what kind of file they are from."""
+    if all(s == int(s) for s in scores):
+        rank = {s: r for r, s in enumerate(sorted(set(scores), reverse=True))}
+        return [-math.log(RANK + rank[s]) for s in scores]
+    return list(scores)
+
+
 class Pieces:
-    """The strings of a vocabulary's pieces and a first distribution over them."""
+    """The log probabilities of a vocabulary's pieces, bytes and end."""
 
     def __init__(self, path: str):
         p = sentencepiece.SentencePieceProcessor(model_file=path)
-        names, scores = [], []
-        for i in range(p.get_piece_size()):
-            if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i) or p.is_byte(i)):
-                names.append(p.id_to_piece(i))
-                scores.append(p.get_score(i))
-        order = sorted(range(len(names)), key=lambda i: (-scores[i], names[i]))
-        weight = {names[i]: 1 / (RANK + r) for r, i in enumerate(order)}
-        least = min(weight.values()) / 100
-        weight |= {f"<0x{b:02X}>": least for b in range(256)}
-        weight[END] = least
-        total = sum(weight.values())
-        self.first = {s: math.log(w / total) for s, w in weight.items()}
+        ids = [i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i) or p.is_byte(i))]
+        names = [p.id_to_piece(i) for i in ids]
+        weights = dict(zip(names, log_weights([p.get_score(i) for i in ids])))
+        least = min(weights.values())
+        weights |= {f"<0x{b:02X}>": least for b in range(256)} | {END: least}
+        top = max(weights.values())
+        total = top + math.log(sum(math.exp(w - top) for w in weights.values()))
+        self.logs = {s: w - total for s, w in weights.items()}
         self.longest = max(map(len, names))
 
 
@@ -62,28 +67,12 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _edges(word: str, logs: dict[str, float], longest: int) -> list[list[tuple[int, str, float]]]:
-    """For each end in SPACE + word the pieces that end there, as (start, piece, log probability).
+def log_probability(word: str, logs: dict[str, float], longest: int) -> float:
+    """The log of the sum over all segmentations, by a forward recursion in log space.
 
     A character that is no piece of its own is spelt by its bytes besides.
     """
     s = SPACE + word
-    get = logs.get
-    out: list[list[tuple[int, str, float]]] = [[]]
-    for j in range(1, len(s) + 1):
-        here = []
-        for i in range(max(0, j - longest), j):
-            if (x := get(s[i:j])) is not None:
-                here.append((i, s[i:j], x))
-        if not here or here[-1][0] != j - 1:
-            here.append((j - 1, "", sum(logs[f"<0x{b:02X}>"] for b in s[j - 1].encode())))
-        out.append(here)
-    return out
-
-
-def log_probability(word: str, logs: dict[str, float], longest: int) -> float:
-    """The log of the sum over all segmentations, by a forward recursion in log space."""
-    s = SPACE + word
     get, exp = logs.get, math.exp
     a = [0.0]
     for j in range(1, len(s) + 1):
@@ -95,90 +84,10 @@ def log_probability(word: str, logs: dict[str, float], longest: int) -> float:
     return a[-1]
 
 
-def add_expected(word: str, times: int, probabilities: dict[str, float], logs: dict[str, float], longest: int, sums: dict[str, float]) -> None:
-    """Adds times the expected number of each piece in the segmentations of word, given the word."""
-    s = SPACE + word
-    n = len(s)
-    if n > PLAIN:
-        return _add_expected_long(word, times, logs, longest, sums)
-    get, a, edges = probabilities.get, [1.0], []
-    for j in range(1, n + 1):
-        total, here = 0.0, []
-        for i in range(j - longest if j > longest else 0, j):
-            piece = s[i:j]
-            if (p := get(piece)) is not None:
-                p *= a[i]
-                total += p
-                here.append((i, piece, p))
-        if s[j - 1] not in probabilities:
-            p = a[j - 1] * math.prod(probabilities[f"<0x{b:02X}>"] for b in s[j - 1].encode())
-            total += p
-            here.append((j - 1, "", p))
-        a.append(total)
-        edges.append(here)
-    share = [0.0] * n + [float(times)]  # the posterior that a boundary is here
-    for j in range(n, 0, -1):
-        if m := share[j]:
-            m /= a[j]
-            for i, piece, p in edges[j - 1]:
-                p *= m
-                share[i] += p
-                if piece:
-                    sums[piece] += p
-                else:
-                    for b in s[j - 1].encode():
-                        sums[f"<0x{b:02X}>"] += p
-
-
-def _add_expected_long(word: str, times: int, logs: dict[str, float], longest: int, sums: dict[str, float]) -> None:
-    """The same in log space, for words whose probabilities could be too small for a plain number."""
-    edges = _edges(word, logs, longest)
-    n = len(edges) - 1
-    a = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        terms = [a[i] + x for i, _, x in edges[j]]
-        top = max(terms)
-        a[j] = top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
-    share = [0.0] * n + [float(times)]
-    for j in range(n, 0, -1):
-        if share[j] > 1e-12:
-            for i, piece, x in edges[j]:
-                p = share[j] * math.exp(a[i] + x - a[j])
-                share[i] += p
-                for name in (piece,) if piece else [f"<0x{b:02X}>" for b in (SPACE + word)[j - 1].encode()]:
-                    sums[name] += p
-
-
 def _text(word: bytes) -> str:
     return word.decode("utf-8", "replace")
 
 
-def estimated(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> dict[str, float]:
-    """Log probabilities of the pieces after rounds of re-estimation on words(word binary, c) and ends text ends.
-
-    The expected counts are summed by Spark; one number for each piece comes to the driver.
-    """
-    first = pieces(path)
-    logs = first.first
-    known = words.where("c > 0").select("word", "c")
-    for _ in range(rounds):
-        now = dict(logs)
-
-        def expect(batches: Iterator[pa.RecordBatch], now: dict[str, float] = now, longest: int = first.longest) -> Iterator[pa.RecordBatch]:
-            sums: dict[str, float] = defaultdict(float)
-            plain = {s: math.exp(x) for s, x in now.items()}
-            for b in batches:
-                for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    add_expected(_text(w), c, plain, now, longest, sums)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["piece", "n"])
-
-        got = known.mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        sums = {r["piece"]: r["n"] for r in got} | {END: float(ends)}
-        total = sum(sums.values()) + ADDED * len(logs)
-        logs = {s: float(f"{math.log((sums.get(s, 0.0) + ADDED) / total):.12g}") for s in logs}
-    return logs
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, learn) -> (word, c): each word of these rows with its count in the rows to learn from."""
     held: Counter[bytes] = Counter()
@@ -200,15 +109,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def lattice_scores(docs: DataFrame, path: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of docs.
 
-    Tokens are the words of the text, lower-cased in A-Z, and one end. The rows without held_out are learnt
-    from. base_score adds log10((c + 1) / (N + V + 1)) over the tokens; score is the lattice's log10
+    Tokens are the words of the text, lower-cased in A-Z, and one end. The words of rows without held_out are
+    counted. base_score adds log10((c + 1) / (N + V + 1)) over the tokens; score is the lattice's log10
     probability of the words and the end. Each different word is scored once and joined with the documents;
     frequent words, fewer than frequent whatever the input, are broadcast instead. A null or empty text is
     its end alone; texts and words of any length are scored whole; repeated rows each keep their row; a row
-    with a null id is learnt from; other columns are ignored; an empty table gives an empty result, and
+    with a null id is counted; other columns are ignored; an empty table gives an empty result, and
     with nothing to learn from every count is 0.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -219,8 +128,8 @@ def lattice_scores(docs: DataFrame, path: str, held_out: Column, id_col: str = "
     n_docs = rows.agg(F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()[0]
     got = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = got[0] + n_docs, got[1] + (n_docs > 0)
-    logs = estimated(words, n_docs, path, rounds)
-    longest = pieces(path).longest
+    vocabulary = pieces(path)
+    logs, longest = vocabulary.logs, vocabulary.longest
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
