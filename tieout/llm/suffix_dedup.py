@@ -3,18 +3,21 @@
 A full suffix array has an entry for each byte. Here only some suffixes stand for all: each string of
 `length` bytes picks its gram of GRAM bytes with the least hash, so strings that are equal pick the same
 gram at the same place. The neighbouring strings that pick one gram form a block, about one for each 40
-bytes. Blocks of one gram are brought together. Blocks that are alike as a whole need no further look:
-all but the first repeat. Where a gram has blocks that differ, as at the ends of a repeated passage, the
-suffixes before and after the gram are sorted by a merge sort whose comparisons find the common extension
-by binary search over prefix polynomial hashes, and check it against the bytes; the common extensions of
-neighbours then give the strings that two blocks share.
+bytes. Blocks of one gram are brought together. Blocks that are alike as a whole, by the BLAKE2b digest of
+their bytes, need no further look: all but the first repeat. Where a gram has blocks that differ, as at the
+ends of a repeated passage, the suffixes after and before the gram are sorted by a merge sort whose
+comparisons find the common extension by binary search over prefix polynomial hashes; the extensions of
+neighbours are then checked against the bytes. Strings at one place beside the gram are equal where they
+stand in one run of both orders with long enough common extensions. Where more blocks share a gram than one
+task shall sort, each block is halved: the strings of either half have a longer core in common than the
+gram, and the cores part the blocks; this goes on down to single strings.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import cache, cmp_to_key
+from functools import cache
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +29,15 @@ from .common import checkpointed
 GRAM = 24
 #: Bytes that are hashed at once; places in such a part have PLACE_BITS bits.
 PART, PLACE_BITS = 1 << 19, 20
-#: Differing blocks of one gram that one task sorts at most; more are compared string by string across tasks.
-SORTED = 4096
-#: Blocks of one gram up to which each two are looked at by their common extensions.
-PAIRED = 48
+#: Blocks of one gram that one task sorts at most; more are halved.
+SORTED = 1 << 15
 BASE = 0x9E3779B97F4A7C15
-M64 = (1 << 64) - 1
 
 
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64, for a part and what hangs over."""
-    n = (1 << PLACE_BITS) + 1
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64, for i up to 2 ** bits."""
+    n = (1 << bits) + 1
     return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64), dtype=np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64)))
 
 
@@ -49,23 +49,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _prefix_hashes(x: np.ndarray) -> np.ndarray:
-    power, _ = _powers()
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[: len(x)], dtype=np.uint64)))
+class Prefixes:
+    """Polynomial hashes of all prefixes of x, and from them of any part of it."""
 
+    def __init__(self, x: np.ndarray):
+        self.power, self.inverse = _powers(max(PLACE_BITS, len(x).bit_length()))
+        self.h = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * self.power[: len(x)], dtype=np.uint64)))
 
-def _hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (prefix[end] - prefix[start]) * _powers()[1][start]
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.h[end] - self.h[start]) * self.inverse[start]
 
 
 def blocks_of(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, block hash, first string, last string, gram) of the blocks in x, several texts that end at ends."""
+    """(gram hash, first string, last string, gram) of the blocks in x, several texts that end at ends."""
     n = len(x)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    prefix = _prefix_hashes(x)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    prefix = Prefixes(x)
     grams = np.arange(n - GRAM + 1)
-    g = _mix(_hash(prefix, grams, grams + GRAM))
+    g = _mix(prefix.of(grams, grams + GRAM))
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = (g & ~low) | grams.astype(np.uint64)
     width, have = length - GRAM + 1, 1
@@ -83,8 +85,15 @@ def blocks_of(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     fine = inside[first]
     first, last = first[fine], last[fine]
     gram = at[first]
-    own = _hash(prefix, first, last + length) + (last - first).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + (gram - first).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
-    return g[gram].view(np.int64), _mix(own).view(np.int64), first, last, gram
+    return g[gram].view(np.int64), first, last, gram
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b for each data[start:end] and what else makes blocks differ, as two numbers."""
+    view = memoryview(data)
+    joined = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+    two = np.frombuffer(joined, "<i8").reshape(-1, 2)
+    return two[:, 0] ^ shape, two[:, 1].copy()
 
 
 def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list[int], bytes, list[int]]]:
@@ -118,10 +127,10 @@ def _merged_runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
     return doc[at], first[at], np.maximum.reduceat(last, at)
 
 
-#: What is shuffled for a block: at holds its first string, and in WIDE bits each how far the last string and the gram are from it.
-#: A run of repeats has REPEAT in their place, a number to spread it by in h and the last string's distance in bh.
-NAMES = ["h", "bh", "doc", "at"]
-ROW = "h long, bh long, doc long, at long"
+#: What is shuffled for a block: its gram's hash, its digest, and where it is. at holds its first string, and in WIDE bits each
+#: how far the last string and the gram are from it. A run of repeats has REPEAT in their place, a number to spread it by in h and the last string's distance in d1.
+NAMES = ["h", "d1", "d2", "doc", "at"]
+ROW = "h long, d1 long, d2 long, doc long, at long"
 WIDE = 16
 REPEAT = (1 << 2 * WIDE) - 1
 
@@ -130,10 +139,6 @@ def _rows(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=NAMES)
 
 
-def _packed_blocks(h: np.ndarray, bh: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-    return _rows(h, bh, doc, first << 2 * WIDE | (last - first) << WIDE | (gram - first))
-
-
 def _last_of_block(at: np.ndarray) -> np.ndarray:
     return (at >> 2 * WIDE) + (at >> WIDE & (1 << WIDE) - 1)
 
@@ -141,45 +146,53 @@ def _last_of_block(at: np.ndarray) -> np.ndarray:
 def _repeats(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
     doc, first, last = _merged_runs(doc, first, last)
     spread = _mix(doc.view(np.uint64) + first.view(np.uint64)).view(np.int64)
-    return _rows(spread, last - first, doc, first << 2 * WIDE | REPEAT)
+    return _rows(spread, last - first, np.zeros(len(doc)), doc, first << 2 * WIDE | REPEAT)
 
 
 def _found(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks of each batch. Blocks that an earlier one of the batch repeats as a whole are settled here."""
         for b in batches:
-            got = [[] for _ in range(6)]
+            got = [[] for _ in range(7)]
             for ids, offsets, data, ends in _parts(b, length):
-                h, bh, first, last, gram = blocks_of(np.frombuffer(data, np.uint8), np.array(ends), length)
+                h, first, last, gram = blocks_of(np.frombuffer(data, np.uint8), np.array(ends), length)
+                d1, d2 = digests(data, first, last + length, last - first << WIDE | gram - first)
                 piece = np.searchsorted(np.array(ends), first, side="right")
                 shift = (np.array(offsets) - np.array([0, *ends[:-1]]))[piece]
-                for out, c in zip(got, (h, bh, np.array(ids, np.int64)[piece], first + shift, last + shift, gram + shift)):
+                for out, c in zip(got, (h, d1, d2, np.array(ids, np.int64)[piece], first + shift, last + shift, gram + shift)):
                     out.append(c)
             if not got[0]:
                 continue
-            h, bh, doc, first, last, gram = map(np.concatenate, got)
-            o = np.lexsort((first, doc, bh, h))
-            h, bh, doc, first, last, gram = (c[o] for c in (h, bh, doc, first, last, gram))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (bh[1:] != bh[:-1])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            h, d1, d2, doc, first, last, gram = map(np.concatenate, got)
+            o = np.lexsort((first, doc, d2, d1, h))
+            h, d1, d2, doc, first, last, gram = (c[o] for c in (h, d1, d2, doc, first, last, gram))
+            head, _ = _heads(h, d1, d2)
             again = (doc != doc[head]) | (first != first[head])
             kept = np.nonzero(~again)[0]
             kept = kept[np.lexsort((first[kept], doc[kept]))]  # neighbours have much in common, which packs better
-            yield _packed_blocks(h[kept], bh[kept], doc[kept], first[kept], last[kept], gram[kept])
+            at = first << 2 * WIDE | (last - first) << WIDE | (gram - first)
+            yield _rows(*(c[kept] for c in (h, d1, d2, doc, at)))
             if again.any():
                 yield _repeats(doc[again], first[again], last[again])
 
     return run
 
 
+def _heads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by keys: for each row the first with its keys, and which rows are such firsts."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.maximum.accumulate(np.where(new, np.arange(n), 0)), new
+
+
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, bh, doc, at): repeats of whole blocks, and the first blocks of each kind where a gram has several kinds."""
-    pending: list | None = None  # the first row of the current (h, bh), until it is known whether its gram has another kind
+    """Of rows sorted by (h, d1, d2, doc, at): repeats of whole blocks, and the first blocks of each kind where a gram has several kinds."""
+    pending: list | None = None  # the first row of the current block, until it is known whether its gram has another kind
     several = False
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(4)]
-        settled = cols[3] & REPEAT == REPEAT
+        cols = [b.column(i).to_numpy() for i in range(5)]
+        settled = cols[4] & REPEAT == REPEAT
         if settled.any():
             yield _rows(*(c[settled] for c in cols))
             cols = [c[~settled] for c in cols]
@@ -187,11 +200,8 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if pending is not None:  # the row held back stands before this batch
             cols = [np.append(np.array([p], np.int64), c) for p, c in zip(pending, cols)]
-        h, bh, doc, at = cols
-        n = len(h)
-        new = np.ones(n, bool)
-        new[1:] = (h[1:] != h[:-1]) | (bh[1:] != bh[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        h, d1, d2, doc, at = cols
+        head, new = _heads(h, d1, d2)
         again = (doc != doc[head]) | (at != at[head])
         if again.any():
             yield _repeats(doc[again], at[again] >> 2 * WIDE, _last_of_block(at[again]))
@@ -208,99 +218,145 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Suffixes:
-    """Suffixes of several byte strings, compared by hashes."""
-
-    def __init__(self, texts: list[bytes]):
-        self.texts = texts
-        self.prefix = []
-        for t in texts:
-            p, out = 0, [0]
-            for c in t:
-                p = (p * BASE + c + 1) & M64
-                out.append(p)
-            self.prefix.append(out)
-        power, self.power = 1, [1]
-        for _ in range(max(map(len, texts), default=0)):
-            power = power * BASE & M64
-            self.power.append(power)
-
-    def common(self, a: int, i: int, b: int, j: int) -> int:
-        """How many bytes text a from i on and text b from j on begin alike."""
-        p, q, power = self.prefix[a], self.prefix[b], self.power
-        low, high = 0, min(len(p) - 1 - i, len(q) - 1 - j)
-        while low < high:
-            m = (low + high + 1) // 2
-            if (p[i + m] - p[i] * power[m] - q[j + m] + q[j] * power[m]) & M64:
-                high = m - 1
-            else:
-                low = m
-        s, t = self.texts[a], self.texts[b]
-        while s[i : i + low] != t[j : j + low]:  # a collision: the hashes were alike, the bytes aren't
-            low = next(k for k in range(low) if s[i + k] != t[j + k])
+    """Suffixes of x that start at places and go on for sizes bytes, in groups of neighbouring rows."""
+
+    def __init__(self, x: np.ndarray, places: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
+        self.x, self.places, self.sizes, self.groups = x, places, sizes, groups
+        self.hashes = Prefixes(x)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes suffixes a and b begin alike, by binary search over the hashes of their prefixes."""
+        p, q = self.places[a], self.places[b]
+        high = np.minimum(self.sizes[a], self.sizes[b])
+        low = np.zeros_like(high)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            alike = self.hashes.of(p, p + mid) == self.hashes.of(q, q + mid)
+            low, high = np.where(alike, mid, low), np.where(alike, high, mid - 1)
         return low
 
-    def sorted(self, places: list[int]) -> tuple[list[int], list[int]]:
-        """Order of the suffixes that start at places, one in each text, and what neighbours have in common."""
-
-        def compare(a: int, b: int) -> int:
-            n = self.common(a, places[a], b, places[b])
-            s, t = self.texts[a][places[a] + n :], self.texts[b][places[b] + n :]
-            return (len(s) > 0) - (len(t) > 0) if not s or not t else s[0] - t[0]
-
-        order = sorted(range(len(places)), key=cmp_to_key(compare))  # a merge sort
-        return order, [self.common(a, places[a], b, places[b]) for a, b in zip(order, order[1:])]
-
-
-def shared_strings(blocks: list[tuple[bytes, int]], length: int) -> list[list[int]]:
-    """Of blocks (bytes, place of the gram) in corpus order: for each, the offsets of its strings that an earlier one has at the same place."""
-    n = len(blocks)
-    out: list[set[int]] = [set() for _ in range(n)]
-    if n <= PAIRED:
-        after = Suffixes([t for t, _ in blocks])
-        before = Suffixes([t[:g][::-1] for t, g in blocks])
-        right, left = [[0] * n for _ in range(n)], [[0] * n for _ in range(n)]
-        for table, (order, common) in ((right, after.sorted([g for _, g in blocks])), (left, before.sorted([0] * n))):
-            for i, a in enumerate(order):
-                least = M64
-                for b, c in zip(order[i + 1 :], common[i:]):
-                    least = min(least, c)
-                    table[a][b] = table[b][a] = least
-        for v in range(n):
-            t, g = blocks[v]
-            for u in range(v):
-                low = g - left[u][v]
-                high = g + right[u][v] - length
-                out[v].update(range(max(low, 0), min(high, len(t) - length) + 1))
-        # a string counts where it lies in both blocks: what is common never reaches beyond either
-    else:
-        seen: set[tuple[int, bytes]] = set()
-        for v, (t, g) in enumerate(blocks):
-            mine = [(i - g, t[i : i + length]) for i in range(len(t) - length + 1)]
-            out[v].update(i + g for i, w in mine if (i, w) in seen)
-            seen.update(mine)
-    return [sorted(o) for o in out]
-
-
-def _runs(starts: list[int]) -> list[tuple[int, int]]:
-    runs: list[list[int]] = []
-    for s in starts:
-        if runs and s <= runs[-1][1] + 1:
-            runs[-1][1] = s
-        else:
-            runs.append([s, s])
-    return [(a, b) for a, b in runs]
+    def _next(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The byte of suffix a after n bytes, -1 at its end."""
+        inside = n < self.sizes[a]
+        return np.where(inside, self.x[np.where(inside, self.places[a] + n, 0)].astype(np.int64), -1)
+
+    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = self.common(a, b)
+        return self._next(a, n) < self._next(b, n)
+
+    def merged(self) -> np.ndarray:
+        """The rows in the order of their suffixes within each group: a merge sort of all groups at once.
+
+        Pairs of runs are merged by looking up how many of the other run come before each suffix.
+        """
+        n = len(self.places)
+        start, _ = _heads(self.groups)
+        size = np.bincount(start, minlength=n)[start] if n else start
+        order, width = np.arange(n), 1
+        while n and width < size.max():
+            at = np.nonzero(size > width)[0]
+            run = (at - start[at]) // width
+            mine, end = start[at] + run * width, start[at] + size[at]
+            other = np.where(run % 2 == 0, mine + width, mine - width)  # where the other run of the pair starts
+            low, stop = np.zeros(len(at), np.int64), np.clip(end - other, 0, width)
+            left = run % 2 == 0
+            high = stop.copy()
+            while True:
+                open_ = np.nonzero(low < high)[0]
+                if not len(open_):
+                    break
+                mid = (low[open_] + high[open_]) // 2
+                me, they = order[at[open_]], order[other[open_] + mid]
+                # equal suffixes of a left run come before those of its right run
+                before = np.where(left[open_], self.less(they, me), ~self.less(me, they))
+                low[open_] = np.where(before, mid + 1, low[open_])
+                high[open_] = np.where(before, high[open_], mid)
+            to = np.where(left, at, at - width) + low
+            new = order.copy()
+            new[to] = order[at]
+            order, width = new, 2 * width
+        return order
+
+    def checked(self) -> tuple[np.ndarray, np.ndarray]:
+        """(order, common): the sorted rows, and how many bytes each has in common with the one before, by their bytes."""
+        order = self.merged()
+        for _ in range(2):
+            a, b = order[:-1], order[1:]
+            n = self._alike(a, b)
+            wrong = (self.groups[a] == self.groups[b]) & (self._next(a, n) > self._next(b, n))
+            if not wrong.any():
+                return order, np.append(0, n) if len(order) else n
+            # hashes of different bytes were alike: these rows are sorted by their bytes
+            data = self.x.tobytes()
+            order = np.array(sorted(range(len(order)), key=lambda i: (self.groups[i], data[self.places[i] : self.places[i] + self.sizes[i]])), np.int64)
+        raise AssertionError("bytes in order are out of order")
+
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most = np.minimum(self.sizes[a], self.sizes[b])
+        out = np.zeros(len(a), np.int64)
+        for i in range(0, len(a), 1 << 13):
+            p, q, m = self.places[a[i : i + (1 << 13)]], self.places[b[i : i + (1 << 13)]], most[i : i + (1 << 13)]
+            step = np.arange(m.max(initial=0) + 1)
+            inside = step < m[:, None]
+            same = inside & (self.x[np.where(inside, p[:, None] + step, 0)] == self.x[np.where(inside, q[:, None] + step, 0)])
+            out[i : i + (1 << 13)] = (~same).argmax(1)  # the last column is never inside
+        return out
+
+
+def shared_strings(groups: np.ndarray, doc: np.ndarray, first: np.ndarray, gram: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(doc, first, last): runs of the strings in blocks that an earlier block of their group has at the same place beside the gram.
+
+    Rows are in the order (group, doc, first + gram); gram is the gram's offset in data, the bytes of all strings of a block.
+    """
+    n, sizes = len(data), np.array([len(t) for t in data], np.int64)
+    if not n:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    x = np.frombuffer(b"".join(data), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    after, after_common = Suffixes(x, starts + gram, sizes - gram, groups).checked()
+    before, before_common = Suffixes(x[::-1], len(x) - starts - gram, gram, groups).checked()
+    new_after, new_before = (np.append(True, groups[o][1:] != groups[o][:-1]) for o in (after, before))
+    place = np.arange(GRAM - length, 1)
+    gone = np.zeros((n, len(place) + 2), bool)  # with a column that is never set at either end
+    in_after, in_before = np.empty(n, np.int64), np.empty(n, np.int64)
+    for k, i in enumerate(place.tolist()):
+        have = np.nonzero((gram + i >= 0) & (gram + i + length <= sizes))[0]
+        if len(have) < 2:
+            continue
+        # strings that start i bytes from the gram are equal where both extensions are long enough
+        in_after[after] = np.cumsum(new_after | (after_common < length + i))
+        in_before[before] = np.cumsum(new_before | (before_common < -i))
+        _, head, whose = np.unique(in_after[have] * (n + 1) + in_before[have], return_index=True, return_inverse=True)
+        head = have[head][whose]
+        gone[have, k + 1] = (doc[have] != doc[head]) | ((first + gram)[have] != (first + gram)[head])
+    edge = np.diff(gone.astype(np.int8), axis=1)
+    row, low = np.nonzero(edge == 1)
+    _, high = np.nonzero(edge == -1)
+    base = (first + gram)[row] + place[0]
+    return doc[row], base + low, base + high - 1
 
 
 def _sorted_groups(length: int):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows = sorted(set(zip(*(group[c].to_pylist() for c in ("doc", "first", "gram", "data")))))
-        doc, first, last = [], [], []
-        for (d, f, _, _), starts in zip(rows, shared_strings([(t, g) for _, _, g, t in rows], length)):
-            for a, b in _runs(starts):
-                doc.append(d)
-                first.append(f + a)
-                last.append(f + b)
-        return pa.table({"doc": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
+    """(h, doc, first, gram, data) in the order of h -> (doc, first, last). The last group of a batch waits for the next one."""
+
+    def search(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r[0], r[1], r[2] + r[3], r[2], r[4]))
+        h, doc, first, gram = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in shared_strings(h, doc, first, gram, [r[4] for r in rows], length)], names=["doc", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            held += zip(*(b.column(i).to_pylist() for i in range(5)))
+            if len(held) < 4096:
+                continue
+            last = held[-1][0]
+            ready = [r for r in held if r[0] != last]
+            if ready:
+                yield search(ready)
+                held = [r for r in held if r[0] == last]
+        if held:
+            yield search(held)
 
     return run
 
@@ -321,19 +377,37 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 first.append(a["first"])
                 gram.append(a["gram"] - a["first"])
                 data.append(t[a["first"] : a["last"] + length])
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(gram, pa.int32()), pa.array(data, pa.binary())], names=["h", "doc", "first", "gram", "data"])
+        yield _blocks(h, doc, first, gram, data, [GRAM] * len(h))
 
 
-def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc, first, data) -> (w, doc, first): a row for each string of a block, w its 128-bit hash."""
-    for b in batches:
-        w, doc, first = [], [], []
-        for d, f, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-            for i in range(len(t) - length + 1):
-                w.append(hashlib.blake2b(t[i : i + length], digest_size=16).digest())
-                doc.append(d)
-                first.append(f + i)
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(first, pa.int64())], names=["w", "doc", "first"])
+BLOCK_NAMES = ["h", "doc", "first", "gram", "data", "core"]
+BLOCK = "h long, doc long, first long, gram int, data binary, core int"
+
+
+def _blocks(h: list, doc: list, first: list, gram: list, data: list, core: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h, doc, first, gram, data, core), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=BLOCK_NAMES)
+
+
+def _halved(length: int):
+    """Blocks whose strings share a core -> two blocks each, of the strings that start well before the core and of the others, with longer cores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in BLOCK_NAMES]
+            for h, doc, first, gram, data, core in zip(*(b.column(i).to_pylist() for i in range(6))):
+                half = (length - core) // 2
+                # strings that start low to high bytes before the core; their own core is what all of them have
+                for low, high in ((length - core, half + 1), (half, 0)):
+                    start, stop = max(gram - low, 0), min(gram - high, len(data) - length) + length
+                    if stop - start < length:
+                        continue
+                    longer = data[gram - high : gram - low + length]
+                    key = int.from_bytes(blake2b(longer + bytes([low - high & 255]), digest_size=8).digest(), "little", signed=True)
+                    for o, x in zip(out, (key, doc, first + start, gram - high - start, data[start:stop], length - (low - high))):
+                        o.append(x)
+            yield _blocks(*out)
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -349,39 +423,52 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 at = max(at, r[1] + length)
             kept.append(t[at:])
             left = b"".join(kept)
-            for o, x in zip(out, (d, len(t), len(t) - len(left), spans, hashlib.sha256(left).hexdigest())):
+            for o, x in zip(out, (d, len(t), len(t) - len(left), spans, sha256(left).hexdigest())):
                 o.append(x)
         yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", most_sorted: int = SORTED) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = SORTED) -> DataFrame:
     """(doc, first, last): runs of starts of strings of length bytes that also start earlier (smaller id, or same id and smaller start)."""
     if not GRAM < length < 1 << WIDE:
         raise ValueError(f"strings must be longer than {GRAM} bytes and shorter than {1 << WIDE}")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_found(length), ROW)
-    settled = checkpointed(found.repartition("h").sortWithinPartitions("h", "bh", "doc", "at").mapInArrow(_settled, ROW))
+    settled = checkpointed(found.repartition("h").sortWithinPartitions("h", "d1", "d2", "doc", "at").mapInArrow(_settled, ROW))
     first = F.shiftright("at", 2 * WIDE)
     repeat = F.col("at").bitwiseAND(F.lit(REPEAT)) == REPEAT
-    whole = settled.where(repeat).select("doc", first.alias("first"), (first + F.col("bh")).alias("last"))
+    runs = settled.where(repeat).select("doc", first.alias("first"), (first + F.col("d1")).alias("last"))
     part = lambda by: first + F.shiftright("at", by).bitwiseAND(F.lit((1 << WIDE) - 1))
     differ = settled.where(~repeat).select("h", "doc", first.alias("first"), part(WIDE).alias("last"), part(0).alias("gram"))
     asked = differ.groupBy("doc").agg(F.collect_list(F.struct("h", "first", "last", "gram")).alias("asked"))
-    blocks = rows.join(asked, F.col("id") == F.col("doc")).select("id", "text", "asked").mapInArrow(lambda it: _cut(it, length), "h long, doc long, first long, gram int, data binary")
-    many = differ.groupBy("h").count().where(F.col("count") > most_sorted).select("h")
-    some = bool(many.take(1))
-    blocks = checkpointed(blocks) if some else blocks
-    few = blocks.join(many, "h", "left_anti") if some else blocks
-    runs = whole.unionByName(few.groupBy("h").applyInArrow(_sorted_groups(length), "doc long, first long, last long"))
-    if some:
-        strings = blocks.join(many, "h", "left_semi").select("doc", "first", "data").mapInArrow(lambda it: _strings(it, length), "w binary, doc long, first long")
-        earliest = strings.groupBy("w").agg(F.min(F.struct("doc", "first")).alias("e"))
-        again = strings.join(earliest, "w").where(F.struct("doc", "first") > F.col("e"))
-        runs = runs.unionByName(again.select("doc", "first", F.col("first").alias("last")))
-    return runs
-
-
-def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", most_sorted: int = SORTED) -> DataFrame:
+    blocks = rows.join(asked, F.col("id") == F.col("doc")).select("id", "text", "asked").mapInArrow(lambda it: _cut(it, length), BLOCK)
+    large = lambda keys: keys.groupBy("h").count().where(F.col("count") > most).select("h")
+    many = large(differ)
+    several = bool(many.take(1))
+    few = blocks
+    while several:
+        blocks = checkpointed(blocks)
+        runs = runs.unionByName(_searched(blocks.join(many, "h", "left_anti"), length))
+        crowded = blocks.join(many, "h", "left_semi").select(*BLOCK_NAMES)
+        runs = runs.unionByName(_single(crowded.where(F.col("core") == length)))
+        few = blocks = checkpointed(crowded.where(F.col("core") < length).mapInArrow(_halved(length), BLOCK))
+        many = large(blocks)
+        several = bool(many.take(1))
+    return runs.unionByName(_searched(few, length))
+
+
+def _searched(blocks: DataFrame, length: int) -> DataFrame:
+    return blocks.select("h", "doc", "first", "gram", "data").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups(length), "doc long, first long, last long")
+
+
+def _single(strings: DataFrame) -> DataFrame:
+    """Of blocks of one string each, many of them equal: all but the first of each, by the SHA-256 of their bytes."""
+    named = strings.select("doc", "first", F.sha2("data", 256).alias("w"))
+    earliest = named.groupBy("w").agg(F.min(F.struct("doc", "first")).alias("e"))
+    return named.join(earliest, "w").where(F.struct("doc", "first") > F.col("e")).select("doc", "first", F.col("first").alias("last"))
+
+
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = SORTED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row for each row of docs.
 
     Texts are UTF-8 bytes. Each byte goes that lies in a string of length bytes which also starts earlier,
@@ -392,7 +479,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     have no place in the order and keep all bytes; other columns are ignored; an empty table gives an empty
     result. ids are whole numbers.
     """
-    runs = repeated_runs(docs, length, id_col, text_col, most_sorted)
+    runs = repeated_runs(docs, length, id_col, text_col, most)
     by_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     joined = rows.join(by_doc, F.col("id") == F.col("doc"), "left").select("id", "text", "runs")
