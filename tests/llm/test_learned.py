@@ -1,6 +1,7 @@
 """Operators that learn, on small tables, and the pipeline."""
 
 import random
+import warnings
 
 import numpy as np
 import pytest
@@ -54,6 +55,33 @@ def test_swapped_texts():
     out = toxicity.swapped("the Women sing")
     assert len(out) == 2 and "men" in out[0] and "girls" in out[1] and all("women" not in f and "sing" in f for f in out)
     assert toxicity.swapped("nobody here") == []
+    hindus = toxicity.swapped("all hindus sing")  # English and German have the word
+    assert [f & {"buddhists", "atheists", "christen", "muslime", "christians", "muslims"} for f in hindus] == [{"buddhists"}, {"atheists"}, {"christen"}, {"muslime"}]
+
+
+def test_features_of_long_and_unspaced_words():
+    assert toxicity.word_features("Word!") == ("word", "word*")
+    assert "~本語" in toxicity.word_features("日本語") and "日本語" not in toxicity.word_features("日本語")
+    long = toxicity.word_features("ab" * 50_000)
+    assert set(long) == {"abab*", "ababa*", "ababab*", "~ab", "~ba", "~aba", "~bab"}
+
+
+def test_fit_against_a_dense_reference():
+    """Plain gradient descent on the dense loss comes to the same scores."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((80, 5)) < 0.4).astype(float)
+    y = (x @ np.array([2.0, -1, 0.5, 0, 1]) + rng.normal(size=80) > 1).astype(float)
+    swaps = [(sorted(map(int, rng.choice(5, 2, replace=False))), [int(rng.integers(5))]) for _ in range(20)]
+    d = np.zeros((20, 5))
+    for i, (p, q) in enumerate(swaps):
+        d[i, p] += 1
+        d[i, q] -= 1
+    w, b, penalty = np.zeros(5), 0.0, 0.05
+    for _ in range(40_000):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / 80
+        w, b = w - 0.3 * (x.T @ e + toxicity.RIDGE * w + 2 * penalty / 20 * d.T @ (d @ w)), b - 0.3 * e.sum()
+    model = toxicity.fit({str(i): i for i in range(5)}, [np.nonzero(r)[0].tolist() for r in x], y.tolist(), swaps, penalty)
+    assert np.abs(1 / (1 + np.exp(-(x @ w + b))) - 1 / (1 + np.exp(-(x @ model.weights + model.bias)))).max() < 0.01
 
 
 def test_toxicity_of_odd_tables(spark):
@@ -83,6 +111,37 @@ def test_mixing_meets_its_targets(spark):
     assert out.columns == docs.columns and out.select("doc_id").distinct().count() == 600 and out.count() > 600
 
 
+def test_rates_against_dense_least_squares(spark):
+    """The same objective as a dense projected gradient, where targets can't all be met too."""
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 50, 40)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 40).round(6)
+    df = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(40)], "id long, n_words long, p0 double, p1 double, p2 double")
+    for weights in ([0.2, 0.5, 0.3], [0.0, 1.0, 0.0]):
+        have = (n[:, None] * p).sum(0)
+        budget = max(h / w for h, w in zip(have, weights) if w)
+        target = budget * np.array(weights)
+        scale = np.where(target > 0, target, have.sum())
+        m = (n[:, None] * p / scale).T
+        r = np.full(40, budget / have.sum())
+        for _ in range(60_000):
+            r = np.maximum(0, r - (m.T @ (m @ r - target / scale)) / np.linalg.eigvalsh(m @ m.T)[-1])
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            got = {x.id: x._rate for x in mixing.fitted_rates(df, 3, weights).collect()}
+        mine = np.array([got[i] for i in range(40)])
+        assert mine.min() >= 0
+        loss = lambda r: float(((m @ r - target / scale) ** 2).sum())
+        assert loss(mine) <= max(3 * mixing.CLOSE**2, loss(r) * 1.01 + 1e-6)
+
+
+def test_targets_that_the_corpus_lacks_are_refused(spark):
+    docs = spark.createDataFrame([(1, "ka lo"), (2, "mi nu")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, d string")
+    with pytest.raises(ValueError):
+        mixing.mixed(docs, labels, F.col("d"), {"a": 0.5, "c": 0.5})
+
+
 def test_mixing_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "ka lo"), (4, "ka " * 9000), (4, "ka " * 9000)], "doc_id long, text string")
     labels = spark.createDataFrame([(4, 1), (2, 0), (9, None)], "doc_id long, quality int")
@@ -95,7 +154,7 @@ def test_pipeline_stages(spark, tmp_path):
     random.seed(7)
     texts = [" ".join(random.choices(WORDS, k=60)) for _ in range(120)]
     texts = [t + " vile vile" if i % 6 == 0 else t for i, t in enumerate(texts)]
-    texts += [texts[1], texts[2] + " ka", "note password=hunter2222 end " + texts[3]]
+    texts += [texts[1], texts[2] + " ka", "note password=hunter2222 end " + " ".join(random.choices(WORDS, k=60))]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, int(i % 5 > 0), int("vile" in t)) for i, t in enumerate(texts[:120])], "doc_id long, quality int, toxic int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tieout.llm import near_copies
+from tieout.llm.simhash import fingerprint
 
 
 def brute(texts, width=5, similarity=0.8):
@@ -15,7 +16,9 @@ def brute(texts, width=5, similarity=0.8):
         return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
     sets = [grams(t) for t in texts]
-    near = [[j for j in range(len(texts)) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])] for i in range(len(texts))]
+    fps = [fingerprint(t or "", width) for t in texts]
+    linked = lambda i, j: len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 4
+    near = [[j for j in range(len(texts)) if linked(i, j)] for i in range(len(texts))]
     part = list(range(len(texts)))
     for _ in texts:
         now = [min(part[j] for j in near[i]) for i in range(len(texts))]

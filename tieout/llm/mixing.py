@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -17,10 +18,14 @@ from .common import checkpointed, packed
 TRAIN_ROWS = 20_000
 #: Hash buckets of words in the classifier, and domains at most.
 BUCKETS, DOMAINS = 1 << 13, 16
+#: Words of the whole corpus that are added to each domain's own.
+LEANING = 1000.0
 #: Words' worth of evidence that a text gives at most: its mean log-likelihood counts that often.
 EVIDENCE = 40.0
-#: Gradient steps at most, and the relative error of every domain's total at which they end.
-STEPS, CLOSE = 60, 1e-3
+#: Relative error of every domain's total at which steps end, and steps in which the objective must fall by that share to go on.
+CLOSE, STILL = 1e-3, 40
+#: Steps that a fit may take before it is an error.
+STEPS = 1000
 #: Steps between checkpoints of the rates.
 LINEAGE = 10
 
@@ -75,7 +80,9 @@ def train_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: st
         return ["all"], np.zeros(1), np.full((1, BUCKETS), -math.log(BUCKETS))
     table = np.array([names[d] for d in order])
     priors = np.log(table[:, BUCKETS] / table[:, BUCKETS].sum())
-    words = np.log((table[:, :BUCKETS] + 1) / (table[:, :BUCKETS] + 1).sum(1, keepdims=True))
+    counts = table[:, :BUCKETS]
+    shared = (counts.sum(0) + 1) / (counts.sum() + BUCKETS)  # a rare domain leans on what all domains have
+    words = np.log((counts + LEANING * shared) / (counts.sum(1, keepdims=True) + LEANING))
     return order, priors, words
 
 
@@ -106,7 +113,9 @@ def fitted_rates(posteriors: DataFrame, k: int, weights: list[float], steps: int
     Projected gradient, one pass over the documents a step: the squared relative errors of the totals are
     made small, each document's rate going against the gradient (in the metric of its words) and back to 0
     where it would be less. Rates start equal, at the least total of words that lowers no domain below what
-    the corpus has of it. A pass returns the k totals alone, whatever the number of documents.
+    the corpus has of it. A pass returns the k totals alone, whatever the number of documents. Steps end
+    where the targets are met, or where no rates come nearer to them (which is said in a warning, as
+    is a target for a domain that the corpus has no words of). A fit that does not end is an error.
     """
     ps = [F.col(f"p{i}") for i in range(k)]
     n = F.col("n_words").cast("double")
@@ -114,9 +123,13 @@ def fitted_rates(posteriors: DataFrame, k: int, weights: list[float], steps: int
     first = posteriors.agg(*[F.coalesce(F.sum(n * p), F.lit(0.0)).alias(f"t{i}") for i, p in enumerate(ps)], *gram).first()
     have = np.array([first[f"t{i}"] for i in range(k)])
     w = np.array(weights, float)
-    w = np.where(have > 0, w, 0.0)
     if not have.sum() or not w.sum():
         return posteriors.withColumn("_rate", F.lit(1.0))
+    if ((w > 0) & (have <= 0)).any():
+        warnings.warn(f"targets left out, as no document has words of domains {np.nonzero((w > 0) & (have <= 0))[0].tolist()}", stacklevel=2)
+        w = np.where(have > 0, w, 0.0)
+        if not w.sum():
+            return posteriors.withColumn("_rate", F.lit(1.0))
     w = w / w.sum()
     asked = w > 0
     budget = (have[asked] / w[asked]).max()
@@ -126,34 +139,44 @@ def fitted_rates(posteriors: DataFrame, k: int, weights: list[float], steps: int
     # the step: one over the largest eigenvalue of the scaled Gram matrix (the gradient's Lipschitz constant)
     step = 1 / np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale)))[-1]
     rows = posteriors.withColumn("_rate", F.lit(float(budget / have.sum()))).withColumn("_before", F.col("_rate"))
-    speed = 1.0
+    speed, losses = 1.0, []
     for s in range(1, steps + 1):
         faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
         ahead = F.col("_rate") + (speed - 1) / faster * (F.col("_rate") - F.col("_before"))
         at = rows.withColumn("_ahead", ahead)
         got = at.agg(*[F.sum(n * F.col("_ahead") * p).alias(f"a{i}") for i, p in enumerate(ps)], *[F.sum(n * F.col("_rate") * p).alias(f"r{i}") for i, p in enumerate(ps)]).first()
-        if max(abs(got[f"r{i}"] - target[i]) / scale[i] for i in range(k)) < CLOSE:
+        error = [abs(got[f"r{i}"] - target[i]) / scale[i] for i in range(k)]
+        if max(error) < CLOSE:
             break
-        g = [float(f"{step * (got[f'a{i}'] - target[i]) / scale[i]:.9g}") for i in range(k)]
+        losses.append(sum(e * e for e in error))
+        if s > STILL and min(losses[-STILL:]) > (1 - CLOSE) * min(losses[:-STILL]):
+            warnings.warn(f"no rates meet the targets: totals are off by {[round(e, 4) for e in error]} of them", stacklevel=2)
+            break
+        start, totals = "_ahead", "a"
+        if s > 1 and losses[-1] > losses[-2]:  # the momentum went too far: begin anew from here
+            start, totals, faster = "_rate", "r", 1.0
+        g = [float(f"{step * (got[f'{totals}{i}'] - target[i]) / scale[i]:.9g}") for i in range(k)]
         down = sum((p * x for p, x in zip(ps, g)), F.lit(0.0))
-        rows = at.select(*posteriors.columns, F.greatest(F.lit(0.0), F.col("_ahead") - down).alias("_new"), F.col("_rate").alias("_before")).withColumnRenamed("_new", "_rate")
+        rows = at.select(*posteriors.columns, F.greatest(F.lit(0.0), F.col(start) - down).alias("_new"), F.col("_rate").alias("_before")).withColumnRenamed("_new", "_rate")
         speed = faster
         if s % LINEAGE == 0:
             rows = checkpointed(rows)
+    else:
+        raise RuntimeError(f"no rates after {steps} steps")
     return rows.drop("_before")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep_all: bool = False) -> DataFrame:
     """(doc_id, n_words, domain, posteriors, rate, copies): one row for each row of docs.
 
-    domain, a text column of labels(id), names the domains; weights give their target shares of words (by
-    default as the square roots of the shares that the corpus has, which favours the rare). posteriors lists
+    domain, a text column of labels(id), names the domains; weights give their target shares of tokens, which
+    are words between white space here (by default as the square roots of the shares that the corpus has, which favours the rare). posteriors lists
     name:probability; domain is the likeliest; rate is how often the document shall be taken; copies rounds
     it up or down by a hash of the id, so that the copies of many documents come to their rates. keep_all
     takes each document once at least. A null or empty text has no words and rate and posteriors like the
     priors; texts of any length are read whole; repeated rows each keep their row; a null id is rounded
     like any other value; other columns are ignored; an empty table gives an empty result; without labels
-    there is one domain, and all rates are 1.
+    there is one domain, and all rates are 1. A target for a domain that no label names is an error.
     """
     model = train_domains(docs, labels, domain, id_col, text_col, train_rows)
     names = model[0]
@@ -162,6 +185,8 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str,
     if weights is None:
         total = posteriors.agg(*[F.coalesce(F.sum(F.col("n_words") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
         weights = {d: math.sqrt(total[f"t{i}"]) for i, d in enumerate(names)}
+    if len(names) > 1 and (unknown := [d for d, w in weights.items() if w > 0 and d not in names]):
+        raise ValueError(f"no label teaches the domains {unknown}")
     rates = fitted_rates(posteriors, k, [weights.get(d, 0.0) for d in names])
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.round("_rate", 6)

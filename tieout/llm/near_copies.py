@@ -1,7 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find pairs, the shingles themselves decide.
-
-A pair at similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8. Each bucket's
-rows are searched together with the bucket's smallest row, all pairs of them, so no pair of a bucket is left out.
+"""One document of each group of near copies: SimHash fingerprints link what is very near, shingles what is alike enough.
+
+Fingerprints of the shingles link texts as in the SimHash operator, through pigeonring filtering. At a similarity
+of 0.8 two fingerprints differ in about 10 of 64 bits, too many for any filter to tell from chance; so texts
+that no fingerprint links are searched further by bands of least hashes of the same shingles, and such a pair
+is linked if its sets of shingles are alike at least the similarity asked for. A pair at similarity s shares a
+band with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8. Each bucket's rows are searched together with
+the bucket's smallest row, all pairs of them, so no pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -17,8 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, keyed, one_of_each
 from .components import connected_components
+from .simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
 BANDS, ROWS = 24, 6
+#: Bits in which two fingerprints may differ for a link without a further look at the shingles.
+BITS = 4
 #: Shingles that are hashed by all functions at once.
 CHUNK = 1024
 #: Rows of one search; a larger group is dealt out in blocks of half as many, which meet two by two.
@@ -29,17 +36,8 @@ TIMES, PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
 def shingles(text: str, width: int) -> np.ndarray:
-    """Sorted XXH64 hashes (seed 42) of the different shingles of width words; a shorter text is one shingle, one without words has none."""
-    words = text.encode().lower().split()  # as bytes, so that A-Z and ASCII white space alone count
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([digest(joined, 42)], np.uint64)
-    at = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) + 1 for w in words], out=at[1:])
-    starts, ends = at[: len(words) - width + 1].tolist(), (at[width:] - 1).tolist()
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64))
+    """Sorted hashes of the different shingles of width words; a shorter text is one shingle, one without words has none."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -57,13 +55,15 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _prints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, keys = [], []
+            own, fps, keys = [], [], []
             for t in b.column(1):
-                h = shingles(t.as_py() or "", width)
+                all_hashes = shingle_hashes(t.as_py() or "", width)
+                h = np.unique(all_hashes)
                 own.append(xxhash.xxh128_digest(h.astype("<u8").tobytes()))
+                fps.append(fingerprint_of(all_hashes))
                 keys.append(bands(h))
-            arrays = [b.column(0), pa.array(own, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "own", "bands"])
+            arrays = [b.column(0), pa.array(own, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "own", "fp", "bands"])
 
     return run
 
@@ -114,17 +114,17 @@ def _linked(similarity: Fraction):
     return run
 
 
-def near_copies(rows: DataFrame, width: int, similarity: str, block: int = BLOCK) -> DataFrame:
+def near_copies(rows: DataFrame, width: int, similarity: str, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """(key, component): one row for each row of rows(key long, text), key being different in each.
 
-    Rows are linked whose sets of shingles are alike (common by all) at least similarity; component is
-    the smallest key reachable. Texts without words are alike. Rows with one set are joined before any
+    Rows are linked whose fingerprints differ in at most bits bits, or whose sets of shingles are alike
+    (common by all) at least similarity; component is the smallest key reachable. Texts without words are alike. Rows with one set are joined before any
     pair is looked for. rows must be checkpointed: keys are read more than once.
     """
     half = max(1, block // 2)
-    prints = checkpointed(rows.select("key", "text").mapInArrow(_prints(width), "key long, own binary, bands array<long>"))
+    prints = checkpointed(rows.select("key", "text").mapInArrow(_prints(width), "key long, own binary, fp long, bands array<long>"))
     nodes = prints.groupBy("own").agg(F.min("key").alias("node"))
-    kinds = prints.join(nodes, "own")
+    kinds = checkpointed(prints.join(nodes, "own"))
     keys = checkpointed(kinds.where("key = node").select("node", F.explode("bands").alias("band")))
     shared = keys.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("band", "rep")
     members = checkpointed(keys.join(shared, "band").where("rep < node").select("rep", "node").distinct())
@@ -146,7 +146,10 @@ def near_copies(rows: DataFrame, width: int, similarity: str, block: int = BLOCK
         dealt = dealt.select("rep", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "label", "block").join(sets, "node")
         more = dealt.groupBy("rep", "first", "second").applyInArrow(_linked(Fraction(similarity)), "a long, b long")
         links = links.unionByName(more)
-    found = connected_components(links).withColumnRenamed("node", "_node")
+    heads = kinds.where("key = node").groupBy("fp").agg(F.min("node").alias("least"))
+    same = kinds.where("key = node").join(heads, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    near = fingerprint_links(checkpointed(heads.select("fp", F.col("least").alias("node"))), bits)
+    found = connected_components(links.unionByName(same).unionByName(near)).withColumnRenamed("node", "_node")
     return kinds.join(found, F.col("node") == F.col("_node"), "left").select("key", F.coalesce("component", "node").alias("component"))
 
 

@@ -25,30 +25,40 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints under one key, or times the mean of all keys, beyond which pairs are not compared one by one.
 HOT, HOT_TIMES = 128, 8
-#: Fingerprints in one block of such a key.
-BLOCK = 8192
+#: Fingerprints in one block of such a key, and blocks of one key at most that are looked at two by two.
+BLOCK, MOST_BLOCKS = 8192, 64
 
 
-def fingerprint(text: str, width: int) -> int:
-    """The 64-bit fingerprint of the word shingles of text, repeats included; 0 without words."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of width words, in order, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.encode().lower().split()  # as bytes, so that A-Z and ASCII white space alone count
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(joined, 42)]
-    else:
-        at = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(w) + 1 for w in words], out=at[1:])
-        starts, ends = at[: len(words) - width + 1].tolist(), (at[width:] - 1).tolist()
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends)]
+        return np.array([digest(joined, 42)], np.uint64)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(w) + 1 for w in words], out=at[1:])
+    starts, ends = at[: len(words) - width + 1].tolist(), (at[width:] - 1).tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is in over half the hashes; 0 without any."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 15):
-        block = np.array(hashes[i : i + (1 << 15)], "<u8").view(np.uint8).reshape(-1, 8)
+        block = hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, width: int) -> int:
+    """The 64-bit fingerprint of the word shingles of text; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of each row."""
 
@@ -134,10 +144,10 @@ def fingerprint_links(fps: DataFrame, bits: int, hot: int = HOT, block: int = BL
 
     fps has each fingerprint once. Pairs under a key with at most hot fingerprints are compared in the
     join. A key with more is dealt out in blocks, and each two blocks give their components as stars, no
-    more links than they have fingerprints. Where a key has more blocks than a fingerprint has points
-    bits / 2 away from it outside the key's bits, each fingerprint is linked instead with the smallest node
-    that shares such a point: two fingerprints share a point exactly if they are close enough. That is
-    linear in the fingerprints of the key.
+    more links than they have fingerprints. Where a key has more than MOST_BLOCKS blocks, or more than a
+    fingerprint has points bits / 2 away from it outside the key's bits, each fingerprint is linked instead
+    with the smallest node that shares such a point: two fingerprints share a point exactly if they are close
+    enough. That is linear in the fingerprints of the key. All three ways give the same components.
     """
     kinds = _key_parts(bits)
     keys = F.array(*[F.lit(k << 40).cast("long").bitwiseOR(F.shiftleft(_part(F.col("fp"), *p), 20)).bitwiseOR(_part(F.col("fp"), *q)) for k, (p, q) in enumerate(kinds)]) if bits > 2 else None
@@ -149,7 +159,7 @@ def fingerprint_links(fps: DataFrame, bits: int, hot: int = HOT, block: int = BL
     full = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
     short, long = bits // 2, bits - bits // 2  # of an odd number one of the two goes one bit further
     free = min(BITS - p[1] - q[1] for p, q in kinds)
-    most = block * sum(comb(free, n) for n in range(long + 1))
+    most = block * min(MOST_BLOCKS, sum(comb(free, n) for n in range(long + 1)))
     largest = full.agg(F.max("n")).first()[0] or 0
     usual = rows.join(full, "key", "left_anti") if largest else rows
     a, b = usual.alias("a"), usual.alias("b")

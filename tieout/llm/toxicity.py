@@ -16,9 +16,11 @@ from .common import held_out, packed
 #: Labelled rows that the classifier is fitted on at most (those with the smallest hashes of their ids).
 TRAIN_ROWS = 20_000
 #: Features that are kept at most; least rows with a feature, and its least z score against the labels.
-FEATURES, LEAST_ROWS, LEAST_Z = 4096, 12, 5.0
+FEATURES, LEAST_ROWS, LEAST_Z = 4096, 6, 4.0
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
+#: Longest word that is a feature as a whole; of a longer one, and of one in a script without spaces, all neighbouring letters are.
+LONGEST = 40
 #: Weight of the mean squared change of the log-odds under swaps, and of the squared feature weights.
 SWAP_PENALTY, RIDGE = 4.0, 2e-5
 STEPS = 600
@@ -40,16 +42,22 @@ IDENTITIES = (
     ("mujeres", "hombres", "niñas", "niños"),
     ("cristianos", "musulmanes", "judíos", "hindúes"),
 )
-GROUP_OF = {w: g for g in IDENTITIES for w in g}
+#: The groups of each term: words of several languages are in several.
+GROUPS_OF = {w: tuple(g for g in IDENTITIES if w in g) for group in IDENTITIES for w in group}
 EDGE = re.compile(r"^\W+|\W+$")
+#: Letters of scripts that are written without spaces: Thai to Khmer, kana, Han.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def word_features(token: str) -> tuple[str, ...]:
-    """The word that a token holds, and its beginnings."""
+    """The word that a token holds, and its beginnings; neighbouring letters where there are no words or none that is short."""
     w = EDGE.sub("", token.lower())
-    if not w or len(w) > 40:
+    if not w:
         return ()
-    return (w, *(w[:n] + "*" for n in STEMS if len(w) >= n))
+    stems = tuple(w[:n] + "*" for n in STEMS if len(w) >= n)
+    if len(w) <= LONGEST and not UNSPACED.search(w):
+        return (w, *stems)
+    return (*stems, *dict.fromkeys("~" + w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)))
 
 
 def text_features(text: str) -> set[str]:
@@ -60,21 +68,25 @@ def text_features(text: str) -> set[str]:
 
 
 def swapped(text: str) -> list[set[str]]:
-    """Features of the text with each of its identity terms replaced: once by the next term of its group, once by the one after."""
+    """Features of the text with each of its identity terms replaced: by the next term of a group of it, and by the one after.
+
+    Terms of several groups are swapped within one group at a time, the others then within their only one.
+    """
     tokens = set(text.split())
-    terms = {t: w for t in tokens if (w := EDGE.sub("", t.lower())) in GROUP_OF}
+    terms = {t: w for t in tokens if (w := EDGE.sub("", t.lower())) in GROUPS_OF}
     if not terms:
         return []
     rest: set[str] = set()
     for t in tokens - terms.keys():
         rest.update(word_features(t))
     out = []
-    for step in (1, 2):
-        f = set(rest)
-        for w in terms.values():
-            g = GROUP_OF[w]
-            f.update(word_features(g[(g.index(w) + step) % len(g)]))
-        out.append(f)
+    for which in range(max(len(GROUPS_OF[w]) for w in terms.values())):
+        for step in (1, 2):
+            f = set(rest)
+            for w in terms.values():
+                g = GROUPS_OF[w][min(which, len(GROUPS_OF[w]) - 1)]
+                f.update(word_features(g[(g.index(w) + step) % len(g)]))
+            out.append(f)
     return out
 
 
@@ -136,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, may_learn: Column |
     """
     asked = labels.where(may_learn) if may_learn is not None else labels
     asked = asked.select(F.col(id_col).alias("_id"), label.cast("int").alias("_y")).where("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
-    sample = F.broadcast(asked.orderBy(F.xxhash64("_id"), "_id").limit(train_rows))
+    sample = F.broadcast(asked.orderBy(F.xxhash64("_id"), F.col("_id")).limit(train_rows))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(sample, "_id")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
