@@ -163,6 +163,17 @@ def test_embedding_links(spark, block):
     assert any(near.values())
 
 
+def test_filter_of_ids_loses_none(spark, monkeypatch):
+    from tieout.llm import common
+
+    ids = spark.createDataFrame([(5,), (None,), (-7,), (123456789,)], "doc long")
+    rows = spark.createDataFrame([(i,) for i in (*range(200), -7, 123456789, None)], "id long")
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        got = {r.id: r._may for r in common.may_have(rows, "id", ids, "_may").collect()}
+        assert got[5] and got[-7] and got[123456789] and sum(got.values()) < 20
+
+
 def test_equal_vectors_are_one_point(spark):
     n = 20_000
     same = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.lit(float(i)) for i in range(8)]).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
@@ -259,9 +270,11 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [1 << 15, 4, 1])
-def test_suffix_dedup(spark, most):
+@pytest.mark.parametrize("most, frequent", [(1 << 15, 1 << 12), (4, 2), (1, 1 << 12)])
+def test_suffix_dedup(spark, monkeypatch, most, frequent):
     random.seed(4)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", min(frequent, suffix_dedup.OFTEN))
     base = "".join(random.choice("abcdefgh ij") for _ in range(500))
     texts = [None, "", "a" * 300, "ab" * 120, "a" * 150 + "b", "é" * 60, "é" * 60 + "!"]
     for _ in range(40):
@@ -318,7 +331,7 @@ def test_hash_collisions_are_found_out(spark, monkeypatch):
     texts = [base, base[40:200] + "x", "y" + base[90:], base, None, base[::-1]]
     batch = __import__("pyarrow").RecordBatch.from_pydict({"id": list(range(6)), "text": texts})
     rows = [r for b in suffix_dedup._found(100)(iter([batch])) for r in zip(*(b.column(i).to_pylist() for i in range(5)))]
-    settled = [r for b in suffix_dedup._settled(iter([suffix_dedup._rows(*zip(*sorted(rows)))])) for r in zip(*(b.column(i).to_pylist() for i in range(5)))]
+    settled = [r for b in suffix_dedup._settled(iter([suffix_dedup._rows(*zip(*sorted(rows)))]), np.zeros(0, np.int64)) for r in zip(*(b.column(i).to_pylist() for i in range(5)))]
     gone = {(doc, s) for h, d1, d2, doc, at in settled if at & suffix_dedup.REPEAT == suffix_dedup.REPEAT for s in range(at >> 32, (at >> 32) + d1 + 1)}
     blocks = sorted({(h, doc, at >> 32, (at >> 16 & 65535) + (at >> 32), at & 65535) for h, d1, d2, doc, at in settled if at & suffix_dedup.REPEAT != suffix_dedup.REPEAT}, key=lambda r: (r[0], r[1], r[2] + r[4]))
     h, doc, first, last, gram = (np.array(c) for c in zip(*blocks))

@@ -46,3 +46,21 @@ def one_of_each(rows: DataFrame, parts: DataFrame) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "key")
     first = rows.select("key", "id", "hash").join(parts, "key").groupBy("component").agg(F.min(order).alias("first"))
     return rows.join(first.select(F.col("first.key").alias("key")), "key", "left_semi").select("row.*")
+
+
+#: Bits of a filter of ids, and how many of them one row of it holds.
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def may_have(rows: DataFrame, id_col: str, ids: DataFrame, name: str) -> DataFrame:
+    """rows with name: false where id_col is surely none of ids' ids, so that such rows need no join.
+
+    The filter is a bitmap of hashes, FILTER_BITS / 8 bytes whatever the input, and is broadcast.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    seen = ids.select(place(F.col(ids.columns[0])).alias("_p")).groupBy(F.shiftright("_p", 15).alias("_row")).agg(F.bitmap_construct_agg((F.col("_p") % ROW_BITS)).alias("_bits"))
+    asked = rows.withColumn("_p", place(F.col(id_col))).withColumn("_row", F.shiftright("_p", 15))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_p % {ROW_BITS} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(_p % 8 as int))").bitwiseAND(F.lit(1)) == 1
+    found = asked.join(F.broadcast(seen), "_row", "left").withColumn("_byte", byte).withColumn(name, F.coalesce(bit, F.lit(False)))
+    return found.drop("_p", "_row", "_bits", "_byte")

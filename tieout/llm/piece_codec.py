@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Longest word whose ids are remembered; how many are; how many neighbour checks are.
 KEEP_CHARS, KEEP, KEEP_PAIRS = 48, 600_000, 600_000
+#: Ids that a task gathers before it passes their rows on.
+PASSED_ON = 1 << 20
 
 
 class PieceEncoder(dict):
@@ -163,22 +166,28 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            n, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for t in b.column(1):
-                packed = e.encode(t.as_py() or "")
-                text = e.decode(packed)
-                n.append(len(packed) // 4)
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
+            first, held, packed, texts = 0, 0, [], []
+            n, ids_sha, text_sha = [], [], []
+            for i, t in enumerate(b.column(1), 1):
+                ids = e.encode(t.as_py() or "")
+                text = e.decode(ids)
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(text.encode()).hexdigest())
                 if keep:
-                    ids.append(array("I", packed).tolist())
+                    packed.append(ids)
                     texts.append(text)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                held += n[-1]
+                if held >= PASSED_ON or i == b.num_rows:
+                    columns = [b.column(0).slice(first, i - first), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if keep:
+                        ends = pa.array(np.cumsum([0, *n]), pa.int32())
+                        columns += [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4"))), pa.array(texts, pa.string())]
+                        names += ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    first, held, packed, texts = i, 0, [], []
+                    n, ids_sha, text_sha = [], [], []
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, may_have
 
 GRAM = 24
 #: Bytes that are hashed at once; places in such a part have PLACE_BITS bits.
 PART, PLACE_BITS = 1 << 19, 20
 #: Blocks of one gram that one task sorts at most; more are halved.
-SORTED = 1 << 15
+SORTED = 1 << 12
+#: A gram is frequent from so many blocks on, and from one in so many of all; those of a batch are counted from OFTEN on.
+FREQUENT, SHARE, OFTEN = 1 << 12, 1 << 12, 8
+#: Tasks over which the blocks of a frequent gram are spread.
+SPREAD = 64
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -149,6 +153,31 @@ def _repeats(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordB
     return _rows(spread, last - first, np.zeros(len(doc)), doc, first << 2 * WIDE | REPEAT)
 
 
+def _frequent(length: int):
+    """(id, text) -> (h, n): the grams with several blocks in a batch, and under a null all blocks of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [blocks_of(np.frombuffer(data, np.uint8), np.array(ends), length)[0] for _, _, data, ends in _parts(b, length)]
+            if got:
+                h, n = np.unique(np.concatenate(got), return_counts=True)
+                many = n >= OFTEN
+                yield pa.RecordBatch.from_arrays([pa.array([None, *h[many].tolist()], pa.int64()), pa.array([int(n.sum()), *n[many].tolist()], pa.int64())], names=["h", "n"])
+
+    return run
+
+
+def frequent_grams(rows: DataFrame, length: int) -> list[int]:
+    """The grams of which rows(id, text) have so many blocks that they are spread over tasks; fewer than SHARE whatever the input.
+
+    They only say how work is dealt out; results are the same without them.
+    """
+    counts = rows.mapInArrow(_frequent(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = counts.where(f"h is null or n >= {FREQUENT}").orderBy(F.desc("n")).limit(SHARE).collect()
+    total = sum(r["n"] for r in counts if r["h"] is None)
+    return [r["h"] for r in counts if r["h"] is not None and r["n"] > total // SHARE]
+
+
 def _found(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks of each batch. Blocks that an earlier one of the batch repeats as a whole are settled here."""
@@ -186,8 +215,8 @@ def _heads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum.accumulate(np.where(new, np.arange(n), 0)), new
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, d1, d2, doc, at): repeats of whole blocks, and the first blocks of each kind where a gram has several kinds."""
+def _settled(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, d1, d2, doc, at): repeats of whole blocks, and the first blocks of each kind where a gram has several kinds, as frequent ones are taken to have."""
     pending: list | None = None  # the first row of the current block, until it is known whether its gram has another kind
     several = False
     for b in batches:
@@ -209,6 +238,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = h[heads[1:]] == h[heads[:-1]]
         many = np.append(False, same) | np.append(same, False)
         many[0] |= pending is not None and several
+        many |= np.isin(h[heads], frequent)
         out = heads[:-1][many[:-1]]
         if len(out):
             yield _rows(*(c[out] for c in cols))
@@ -411,19 +441,24 @@ def _halved(length: int):
 
 
 def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(id, text, runs, n_bytes, whole) -> a document's result; whole is the checksum of a text that loses nothing, if it is known."""
     for b in batches:
         out = [[], [], [], [], []]
-        for d, text, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-            t = (text.as_py() or "").encode()
-            kept, at, spans = [], 0, 0
-            for r in sorted((r["first"], r["last"]) for r in runs or ()):
-                if r[0] > at or not spans:
-                    kept.append(t[at : r[0]])
-                    spans += 1
-                at = max(at, r[1] + length)
-            kept.append(t[at:])
-            left = b"".join(kept)
-            for o, x in zip(out, (d, len(t), len(t) - len(left), spans, sha256(left).hexdigest())):
+        for d, text, runs, size, whole in zip(b.column(0).to_pylist(), b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4))):
+            if not runs and whole is not None:
+                result = (d, size, 0, 0, whole)
+            else:
+                t = (text.as_py() or "").encode()
+                kept, at, spans = [], 0, 0
+                for r in sorted((r["first"], r["last"]) for r in runs or ()):
+                    if r[0] > at or not spans:
+                        kept.append(t[at : r[0]])
+                        spans += 1
+                    at = max(at, r[1] + length)
+                kept.append(t[at:])
+                left = b"".join(kept)
+                result = (d, len(t), len(t) - len(left), spans, sha256(left).hexdigest())
+            for o, x in zip(out, result):
                 o.append(x)
         yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -433,15 +468,18 @@ def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     if not GRAM < length < 1 << WIDE:
         raise ValueError(f"strings must be longer than {GRAM} bytes and shorter than {1 << WIDE}")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_found(length), ROW)
-    settled = checkpointed(found.repartition("h").sortWithinPartitions("h", "d1", "d2", "doc", "at").mapInArrow(_settled, ROW))
+    frequent = frequent_grams(rows, length)
+    held = np.array(frequent, np.int64)
+    spread = F.when(F.col("h").isin(frequent), F.pmod("d1", F.lit(SPREAD))).otherwise(0) if frequent else F.lit(0)
+    found = rows.mapInArrow(_found(length), ROW).repartition("h", spread)
+    settled = checkpointed(found.sortWithinPartitions("h", "d1", "d2", "doc", "at").mapInArrow(lambda it: _settled(it, held), ROW))
     first = F.shiftright("at", 2 * WIDE)
     repeat = F.col("at").bitwiseAND(F.lit(REPEAT)) == REPEAT
     runs = settled.where(repeat).select("doc", first.alias("first"), (first + F.col("d1")).alias("last"))
     part = lambda by: first + F.shiftright("at", by).bitwiseAND(F.lit((1 << WIDE) - 1))
     differ = settled.where(~repeat).select("h", "doc", first.alias("first"), part(WIDE).alias("last"), part(0).alias("gram"))
     asked = differ.groupBy("doc").agg(F.collect_list(F.struct("h", "first", "last", "gram")).alias("asked"))
-    blocks = rows.join(asked, F.col("id") == F.col("doc")).select("id", "text", "asked").mapInArrow(lambda it: _cut(it, length), BLOCK)
+    blocks = may_have(rows, "id", differ.select("doc"), "_asked").where("_asked").join(asked, F.col("id") == F.col("doc")).select("id", "text", "asked").mapInArrow(lambda it: _cut(it, length), BLOCK)
     large = lambda keys: keys.groupBy("h").count().where(F.col("count") > most).select("h")
     many = large(differ)
     several = bool(many.take(1))
@@ -479,9 +517,11 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     have no place in the order and keep all bytes; other columns are ignored; an empty table gives an empty
     result. ids are whole numbers.
     """
-    runs = repeated_runs(docs, length, id_col, text_col, most)
+    runs = checkpointed(repeated_runs(docs, length, id_col, text_col, most))
     by_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    joined = rows.join(by_doc, F.col("id") == F.col("doc"), "left").select("id", "text", "runs")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = may_have(rows, "id", runs.select("doc"), "_cut")  # the texts of the others stay where they are
+    rows = rows.select("id", F.when(F.col("_cut"), F.col("text")).alias("text"), F.octet_length("text").cast("long").alias("n_bytes"), F.when(~F.col("_cut"), F.sha2("text", 256)).alias("whole"))
+    joined = rows.join(by_doc, F.col("id") == F.col("doc"), "left").select("id", "text", "runs", "n_bytes", "whole")
     out = joined.mapInArrow(lambda it: _kept(it, length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
