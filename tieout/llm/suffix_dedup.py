@@ -480,9 +480,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     differ = settled.where(~repeat).select("h", "doc", first.alias("first"), part(WIDE).alias("last"), part(0).alias("gram"))
     asked = differ.groupBy("doc").agg(F.collect_list(F.struct("h", "first", "last", "gram")).alias("asked"))
     blocks = may_have(rows, "id", differ.select("doc"), "_asked").where("_asked").join(asked, F.col("id") == F.col("doc")).select("id", "text", "asked").mapInArrow(lambda it: _cut(it, length), BLOCK)
-    large = lambda keys: keys.groupBy("h").count().where(F.col("count") > most).select("h")
-    many = large(differ)
-    several = bool(many.take(1))
+    many, several = _crowded(differ, most)
     few = blocks
     while several:
         blocks = checkpointed(blocks)
@@ -490,11 +488,17 @@ def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
         crowded = blocks.join(many, "h", "left_semi").select(*BLOCK_NAMES)
         runs = runs.unionByName(_single(crowded.where(F.col("core") == length)))
         few = blocks = checkpointed(crowded.where(F.col("core") < length).mapInArrow(_halved(length), BLOCK))
-        many = large(blocks)
-        several = bool(many.take(1))
+        many, several = _crowded(blocks, most)
     return runs.unionByName(_searched(few, length))
 
 
+def _crowded(blocks: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(h) of over most blocks, and how many they are; few are broadcast, so that their blocks are not brought together before they are halved."""
+    many = checkpointed(blocks.groupBy("h").count().where(F.col("count") > most).select("h"))
+    n = many.count()
+    return (F.broadcast(many) if n <= 1 << 16 else many), n
+
+
 def _searched(blocks: DataFrame, length: int) -> DataFrame:
     return blocks.select("h", "doc", "first", "gram", "data").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups(length), "doc long, first long, last long")
 
