@@ -20,7 +20,7 @@ def codes(df):
 def test_csv_drafts(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('id;note\r\n1;"two\nlines"\r\n\r\n2;;x\r\n'.encode("utf-8-sig"))
     got = drafts.read_drafts(spark, str(tmp_path / "a.csv"))
-    assert cells(got) == {(1, 1): "id", (1, 2): "note", (2, 1): "1", (2, 2): "two\nlines", (4, 1): "2", (4, 2): "", (4, 3): "x"} and codes(got) == ["ragged_rows"]
+    assert cells(got) == {(1, 1): "id", (1, 2): "note", (2, 1): "1", (2, 2): "two\nlines", (4, 1): "2", (4, 2): "", (4, 3): "x"} and codes(got) == ["blank_records", "ragged_row"]
     wide = {r.row: (r.c1, r.c2, r.c3) for r in drafts.as_rows(got, 3).collect()}
     assert wide[2] == ("1", "two\nlines", None)
     (tmp_path / "b.csv").write_bytes("é,1\n".encode("cp1252"))
@@ -43,7 +43,7 @@ def test_workbooks_with_entities_are_refused(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "e.xlsx", "w") as z:
         z.writestr("xl/_rels/workbook.xml.rels", "<Relationships/>")
         z.writestr("xl/workbook.xml", '<!DOCTYPE x [<!ENTITY a "b">]><workbook/>')
-    assert codes(drafts.read_drafts(spark, str(tmp_path / "e.xlsx"))) == ["malformed_workbook"]
+    assert codes(drafts.read_drafts(spark, str(tmp_path / "e.xlsx"))) == ["unsafe_workbook"]
 
 
 def test_regions(spark):

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tests.test_recipe import table
 from tieout.functions import cleaning
-from tieout.operators import checks, impact, reconcile, requirements, revisions
+from tieout.operators import impact, reconcile, requirements, revisions
 
 ROLES = ["reference", "account", "currency", "date", "amount"]
 
@@ -40,18 +40,6 @@ def test_amounts_and_dates_as_sources_write_them(spark):
     assert [tuple(r) for r in got] == [("-1234.50", "2025-02-03", "2023-03-15"), (None, None, None), ("7", "", "")]
 
 
-def test_reviews(spark):
-    left = table(spark, [(" a ",), ("b",), ("",), ("b",)], ["k"])
-    ok, twice = table(spark, [("a",)], ["k"], "r"), table(spark, [("a",), ("a",)], ["k"], "r")
-    assert sorted(tuple(r) for r in checks.review_reference(left, ["k"], ok, ["k"]).collect()) == [("difference", "", 1), ("difference", "b", 2)]
-    assert [tuple(r) for r in checks.review_reference(left, ["k"], twice, ["k"]).collect()] == [("needs_input", None, 0)]
-    assert [tuple(r) for r in checks.review_required(left, ["k"]).collect()] == [("k", "difference", 1)]
-    assert [r.status for r in checks.review_required(table(spark, [], ["k"]), ["k"]).collect()] == ["needs_input"]
-    a = table(spark, [("x", "1"), ("y", "2"), ("x", "4")], ["g", "v"])
-    b = table(spark, [("x", "4"), ("y", "3")], ["g", "v"], "r")
-    assert sorted((r.k0, r.status) for r in checks.review_totals(a, "v", ["g"], b, "v", ["g"]).collect()) == [("x", "difference"), ("y", "difference")]
-
-
 def test_revisions(spark):
     a, b = table(spark, [("1", "x"), ("2", "y"), ("3", "z")], ["id", "v"]), table(spark, [("2", "y"), ("1", "q"), ("4", "w")], ["id", "v"])
     changes, wrong = revisions.keyed_diff(a, b, ["id"])
@@ -71,10 +59,22 @@ def test_impact_and_cycles(spark):
 def test_requirements(spark):
     t = table(spark, [("100", "", "2.00"), ("", "30.5", "0.61")], ["credit", "debit", "fee"])
     verdict = lambda df: df.first().status
-    assert verdict(requirements.bank_balance(t, "10", "79.5", "credit", "debit")) == "PASS"
-    assert verdict(requirements.bank_balance(t, "10", "80", "credit", "debit")) == "FAIL"
-    both_blank = table(spark, [("", "", "1")], ["credit", "debit", "fee"])
-    assert verdict(requirements.bank_balance(both_blank, "0", "0", "credit", "debit")) == "ERROR"
+    balance = lambda rows, closing="79.5", sign="positive": verdict(requirements.bank_balance(table(spark, rows, ["credit", "debit"]), "10", closing, "credit", "debit", sign))
+    fine = [("100", ""), ("", "30.5")]
+    assert balance(fine) == "PASS" and balance(fine, "80") == "FAIL"
+    assert balance([*fine, ("", "")]) == "MISSING_EVIDENCE" and balance([*fine, ("1", "1")]) == "NEEDS_REVIEW" and balance([*fine, ("x", "")]) == "ERROR"
+    assert balance([("-1", "")]) == "NEEDS_REVIEW" and balance([("", "-1")]) == "NEEDS_REVIEW" and balance([("", "-1")], "9", "negative") == "PASS" and balance([]) == "MISSING_EVIDENCE"
     assert verdict(requirements.total(t, "fee", "2.61")) == "PASS"
+    assert verdict(requirements.total(table(spark, [("1e3",), ("0.5",)], ["x"]), "x", "1000.5")) == "PASS"
+    assert verdict(requirements.total(table(spark, [("1", "EUR"), ("2", "USD")], ["x", "c"]), "x", "3", context={"currency": ("c", "EUR")})) == "NEEDS_REVIEW"
     tasks = spark.sql("select 't' task_id, 1 cycle, 'open' status, timestamp'2025-01-01' due_at, 5 escalate_after union all select 't', 1, 'open', timestamp'2025-01-01', 5")
     assert sorted(r.event for r in requirements.deadlines(tasks, F.lit("2025-01-10").cast("timestamp")).collect()) == ["escalated", "overdue"]
+
+
+def test_tolerance_must_be_a_number(spark):
+    import pytest
+
+    rows = sides(spark, [("a", "1", "USD", "2025-01-01", "1")], [])
+    for wrong in ("-1", "0); drop", "1e2", ""):
+        with pytest.raises(ValueError):
+            reconcile.matched(rows, wrong, composite_confirmed=True)

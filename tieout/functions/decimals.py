@@ -1,44 +1,72 @@
 """Exact decimals held as text.
 
-A number is [+-]digits[.digits] without exponent. The native tier keeps it as a DECIMAL wide enough for the
-operation to be exact, beside the digits after its point, and writes the result with as many digits as
-exact arithmetic gives (the most of the operands for sums, their sum for products). Numbers that the tier
-can't hold are data errors; they are never rounded. Functions return null where they don't apply.
+A number is a sign, digits and a point, without an exponent. Numbers of up to 18 digits before and 12 after
+the point are worked with as DECIMAL(38,12), beside how many digits stand after the point, so that results
+are written with as many digits as exact arithmetic gives. What doesn't fit is never rounded: expressions
+hand such rows to `exact`, sums hold them in parts of 18 digits, and comparisons go by a text that sorts as
+the numbers do.
 """
 
 from __future__ import annotations
 
+from decimal import Context, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Canonical decimals, and those that the native tier holds: 18 digits before the point and 10 after it.
-CANONICAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
-HELD = r"^[+-]?0*(?:[0-9]{1,18}(?:\.[0-9]{0,10})?|\.[0-9]{1,10})$"
-SCALE = 10
+SCALE = 12
 WIDE = f"decimal(38,{SCALE})"
-#: Factors, dividends and divisors: 12 digits before the point and 6 after it, so that products are exact.
-FACTOR = r"^[+-]?0*(?:[0-9]{1,12}(?:\.[0-9]{0,6})?|\.[0-9]{1,6})$"
+#: What a number looks like, how long it may be, and how many digits it may have before the point.
+CANONICAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
+LONGEST, LARGEST = 256, 101
+#: Numbers that the native tier holds.
+HELD = rf"^[+-]?0*(?:[0-9]{{1,18}}(?:\.[0-9]{{0,{SCALE}}})?|\.[0-9]{{1,{SCALE}}})$"
+#: Numbers that sums hold in parts: PART digits each, so many parts before and after the point.
+PART, BEFORE, AFTER = 18, 3, 2
 
-NOT_CANONICAL = "value is not a canonical decimal; configure explicit conversion"
-TOO_WIDE = "decimal operation exceeds supported precision"
+#: Why a cell is no usable number.
+MISSING, NOT_DECIMAL, TOO_LONG = "missing_value", "not_a_decimal", "number_too_long"
 
 
 def is_canonical(c: Column) -> Column:
-    return (F.length(c) <= 256) & c.rlike(CANONICAL)
+    return (F.length(c) <= LONGEST) & c.rlike(CANONICAL)
+
+
+def is_held(c: Column) -> Column:
+    return c.rlike(HELD)
 
 
 def number(c: Column) -> Column:
-    """The text as a DECIMAL(38,10), or null."""
-    return F.when(c.rlike(HELD), c.cast(WIDE))
+    """The text as a DECIMAL, or null if that doesn't hold it."""
+    return F.when(is_held(c), c.cast(WIDE))
 
 
-def error(c: Column, pattern: str = HELD) -> Column:
-    """Why c is no usable number, or null."""
-    return F.when(c.isNull(), F.lit("a decimal value is required")).when(~is_canonical(c), F.lit(NOT_CANONICAL)).when(~c.rlike(pattern), F.lit(TOO_WIDE))
+def error(c: Column) -> Column:
+    """Why c is no number, or null."""
+    return F.when(c.isNull(), MISSING).when(~is_canonical(c), NOT_DECIMAL).when(~is_held(c) & (F.length(_before_point(c)) > LARGEST), TOO_LONG)
 
 
 def digits_after_point(c: Column) -> Column:
-    return F.length(F.regexp_extract(c, r"\.([0-9]*)$", 1))
+    at = F.instr(c, ".")
+    return F.when(at > 0, F.length(c) - at).otherwise(0)
+
+
+def _before_point(c: Column) -> Column:
+    """Digits before the point without needless zeros; empty for none."""
+    return F.regexp_replace(F.substring_index(c, ".", 1), r"^[+-]?0*", "")
+
+
+def _after_point(c: Column) -> Column:
+    return F.when(F.instr(c, ".") > 0, F.substring_index(c, ".", -1)).otherwise("")
+
+
+def order_key(c: Column) -> Column:
+    """A text for each number that sorts as the numbers do; the same for numbers that are equal."""
+    whole, rest = _before_point(c), F.rtrim(F.translate(_after_point(c), "0", " "))
+    size = F.concat(F.lpad(F.length(whole).cast("string"), 3, "0"), whole, F.lit("."), F.translate(rest, " ", "0"))
+    minus = c.startswith("-") & ((whole != "") | (rest != ""))
+    return F.when(minus, F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), size))
 
 
 def written(value: Column, digits: Column, scale: int = SCALE) -> Column:
@@ -47,43 +75,101 @@ def written(value: Column, digits: Column, scale: int = SCALE) -> Column:
     return F.when(digits <= 0, F.substring_index(text, ".", 1)).otherwise(F.substr(text, F.lit(1), F.length(text) - (F.lit(scale) - digits)))
 
 
-def added(args: list[Column]) -> Column:
-    total = number(args[0])
-    for a in args[1:]:
-        total = F.try_add(total, number(a)).cast(WIDE)
-    return written(total, F.greatest(*[digits_after_point(a) for a in args]) if len(args) > 1 else digits_after_point(args[0]))
+def narrowed(value: Column, precision: int, scale: int) -> Column:
+    """value where the smaller DECIMAL holds it exactly, else null."""
+    small = value.try_cast(f"decimal({precision},{scale})")
+    return F.when(small == value, small)
+
+
+def tenth(places: int) -> Column:
+    """10 ** -places as a DECIMAL with no digit before its point, so that 25 digits times it fit in 38."""
+    return F.lit(format(Decimal(1).scaleb(-places), "f")).cast(f"decimal({max(places, 1)},{places})")
+
+
+def sum_parts(c: Column, name: str) -> list[Column]:
+    """Aggregates from which summed(name) writes the exact sum of the numbers in c; cells that are no numbers are left out."""
+    wide = ~is_held(c) & is_canonical(c)
+    whole, rest = _before_point(c), _after_point(c)
+    fits = (F.length(whole) <= PART * BEFORE) & (F.length(F.rtrim(F.translate(rest, "0", " "))) <= PART * AFTER)
+    padded = F.concat(F.lpad(whole, PART * BEFORE, "0"), F.rpad(rest, PART * AFTER, "0"))
+    part = lambda k: F.substring(padded, PART * k + 1, PART).cast(f"decimal({PART},0)")
+    signed = lambda k: F.when(wide & fits, F.when(c.startswith("-"), -part(k)).otherwise(part(k)))
+    return [
+        F.try_sum(number(c)).cast(WIDE).alias(f"{name}_sum"), F.count_if(is_held(c)).alias(f"{name}_held"), F.count_if(wide).alias(f"{name}_wide"), F.count_if(wide & ~fits).alias(f"{name}_lost"),
+        F.max(F.when(is_canonical(c), digits_after_point(c))).alias(f"{name}_digits"), *[F.sum(signed(k)).alias(f"{name}_p{k}") for k in range(BEFORE + AFTER)],
+    ]
+
+
+def sum_columns(name: str) -> list[str]:
+    return [f"{name}_{x}" for x in ("sum", "held", "wide", "lost", "digits", *(f"p{k}" for k in range(BEFORE + AFTER)))]
+
+
+def _joined(sums: pa.Array) -> pa.Array:
+    """Texts 'digits|sum|part|part...' -> the exact sum."""
+    out = []
+    for s in sums.to_pylist():
+        if s is None:
+            out.append(None)
+            continue
+        digits, native, *parts = s.split("|")
+        total = Decimal(native or 0)
+        for k, p in enumerate(parts):
+            total = EXACT.add(total, Decimal(p or 0).scaleb(PART * (BEFORE - 1 - k), EXACT))
+        out.append(format(total.quantize(Decimal(1).scaleb(-int(digits)), context=EXACT), "f"))
+    return pa.array(out, pa.string())
+
+
+EXACT = Context(prec=2 * LONGEST)
+
+
+def summed(name: str) -> Column:
+    """The sum of sum_parts(c, name) as text: '0' of no numbers, null if it could not be held. Sums without long numbers stay native."""
+    native, wide = F.col(f"{name}_sum"), F.col(f"{name}_wide") > 0
+    whole = (F.col(f"{name}_lost") == 0) & ((F.col(f"{name}_held") == 0) | native.isNotNull())
+    text = lambda c: F.coalesce(F.col(f"{name}_{c}").cast("string"), F.lit(""))
+    packed = F.concat_ws("|", text("digits"), text("sum"), *[text(f"p{k}") for k in range(BEFORE + AFTER)])
+    joined = F.arrow_udf(_joined, "string")(F.when(wide & whole, packed))
+    return F.when(wide, joined).when(F.col(f"{name}_held") == 0, "0").otherwise(written(native, F.col(f"{name}_digits")))
+
+
+def total_of(row, name: str) -> Decimal | None:
+    """The sum of sum_parts(c, name) out of a collected row of them; null if it could not be held."""
+    if row[f"{name}_lost"] or (row[f"{name}_held"] and row[f"{name}_sum"] is None):
+        return None
+    total = Decimal(row[f"{name}_sum"] or 0)
+    for k in range(BEFORE + AFTER):
+        total = EXACT.add(total, Decimal(row[f"{name}_p{k}"] or 0).scaleb(PART * (BEFORE - 1 - k), EXACT))
+    return total.quantize(Decimal(1).scaleb(-(row[f"{name}_digits"] or 0)), context=EXACT)
+
 
+def _apart(pairs: pa.Array) -> pa.Array:
+    out = []
+    for s in pairs.to_pylist():
+        out.append(None if s is None else format(EXACT.subtract(*map(Decimal, s.split("|"))), "f"))
+    return pa.array(out, pa.string())
 
-def subtracted(a: Column, b: Column) -> Column:
-    return written(F.try_subtract(number(a), number(b)).cast(WIDE), F.greatest(digits_after_point(a), digits_after_point(b)))
 
+def difference(a: Column, b: Column) -> Column:
+    """a - b as text, exactly; null where one is."""
+    x, y = number(a), number(b)
+    native = written(F.try_subtract(x.cast("decimal(37,12)"), y.cast("decimal(37,12)")).cast(WIDE), F.greatest(digits_after_point(a), digits_after_point(b)))
+    far = a.isNotNull() & b.isNotNull() & (x.isNull() | y.isNull())
+    return F.coalesce(F.arrow_udf(_apart, "string")(F.when(far, F.concat_ws("|", a, b))), native)
 
-def multiplied(a: Column, b: Column) -> Column:
-    """The exact product of two factors."""
-    product = F.when(a.rlike(FACTOR) & b.rlike(FACTOR), a.cast("decimal(18,6)") * b.cast("decimal(18,6)"))
-    return written(product, digits_after_point(a) + digits_after_point(b), 12)
 
+def within(difference: Column, tolerance: Column) -> Column:
+    """Whether a difference is at most tolerance in size, both texts."""
+    return order_key(F.regexp_replace(difference, r"^[+-]", "")) <= order_key(tolerance)
 
-def rounded(a: Column, scale: int) -> Column:
-    """Half to even."""
-    value = F.bround(number(a), scale) if scale < SCALE else number(a)
-    return value.cast(f"decimal(38,{scale})").cast("string")
 
+def canonical_text(value, negative: bool = True) -> str:
+    """A number of a configuration as text; ValueError if it is none."""
+    import re
 
-def divided(a: Column, b: Column, scale: int) -> Column:
-    """a / b rounded once, half to even: from the exact integer quotient and remainder, as / would round before."""
-    x = (F.abs(a.cast("decimal(18,6)")) * F.lit(1_000_000)).cast("decimal(24,0)")
-    y = (F.abs(b.cast("decimal(18,6)")) * F.lit(1_000_000)).cast("decimal(24,0)")
-    up = (x * F.lit("1" + "0" * scale).cast("decimal(13,0)")).cast("decimal(38,0)")
-    rest = F.when(y != 0, up % F.when(y != 0, y))
-    whole = F.try_divide(up - rest, y).cast("decimal(38,0)")
-    more = (rest * 2 > y) | ((rest * 2 == y) & (whole % 2 == 1))
-    units = whole + F.when(more, 1).otherwise(0)
-    negative = a.startswith("-") != b.startswith("-")
-    text = F.lpad(units.cast("decimal(38,0)").cast("string"), 40, "0")
-    before = F.regexp_replace(F.substr(text, F.lit(1), F.lit(40 - scale)), "^0+(?=.)", "")
-    shown = F.concat(before, F.lit("."), F.substr(text, F.lit(41 - scale))) if scale else before
-    return F.when(a.rlike(FACTOR) & b.rlike(FACTOR) & (y != 0), F.concat(F.when(negative & (units != 0), F.lit("-")).otherwise(F.lit("")), shown))
+    text = str(value)
+    if isinstance(value, (bool, float)) or len(text) > LONGEST or not re.match(CANONICAL, text) or (not negative and Decimal(text) < 0):
+        raise ValueError(f"no {'' if negative else 'positive '}decimal: {value!r}")
+    return text
 
 
 def localized(c: Column, decimal: str = ".", thousands: str | None = None) -> Column:

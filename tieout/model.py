@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 ROW, POS = "_row_id", "_pos"
 
 
+@dataclass(frozen=True)
+class Input:
+    """A table that another one was made of: which rows of it went into which (out, source; None: the same ids), and which columns."""
+
+    table: Table
+    columns: dict[str, tuple[str, ...]]
+    links: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Table:
     """df has ROW, POS and the keys, all text but POS. Labels are for people and never looked up."""
@@ -19,10 +28,17 @@ class Table:
     keys: tuple[str, ...]
     labels: dict[str, str] = field(default_factory=dict)
     title: str = ""
+    inputs: tuple[Input, ...] = ()
 
     def with_df(self, df: DataFrame, keys: tuple[str, ...] | None = None) -> Table:
+        """The table with other rows or cells of the same rows."""
         return replace(self, df=df, keys=self.keys if keys is None else keys)
 
+    def made(self, df: DataFrame, keys: tuple[str, ...], columns: dict[str, tuple[str, ...]] | None = None, links: DataFrame | None = None, more: tuple[Input, ...] = ()) -> Table:
+        """A table made of this one. Columns that aren't named come from those of the same key."""
+        own = {k: (columns or {}).get(k, (k,) if k in self.keys else ()) for k in keys}
+        return replace(self, df=df, keys=keys, inputs=(Input(self, {k: c for k, c in own.items() if c}, links), *more))
+
     def label(self, key: str) -> str:
         return self.labels.get(key, key)
 
@@ -47,3 +63,8 @@ def table_of(df: DataFrame, table_id: str, keys: list[str], position: Column | N
 def row_id(*parts: Column | str) -> Column:
     """A stable id from parts; nulls count as themselves."""
     return F.substring(F.sha2(F.to_json(F.array(*[p if isinstance(p, Column) else F.lit(p) for p in parts])), 256), 1, 24)
+
+
+def digest(*parts: Column) -> Column:
+    """The SHA-256 of the parts in canonical JSON."""
+    return F.sha2(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)

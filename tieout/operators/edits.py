@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..model import POS, ROW, Table, row_id
 
 
@@ -18,6 +19,65 @@ def set_cells(table: Table, corrections: DataFrame) -> Table:
     return table.with_df(df.select(ROW, POS, *[F.when(F.col(f"_new_{i}").isNotNull(), F.col(f"_new_{i}.value")).otherwise(F.col(f"`{k}`")).alias(k) for i, k in enumerate(table.keys)]))
 
 
+def provenance(table: Table, corrections: DataFrame) -> DataFrame:
+    """(row_id, column_key, original, effective, corrected_by, reason): the corrected cells of the table before set_cells, with the last correction of each."""
+    last = corrections.groupBy("row_id", "column_key").agg(F.max_by(F.struct("value", "actor_id", "reason"), "seq").alias("c"))
+    cells = F.array(*[F.struct(F.lit(k).alias("column_key"), F.col(f"`{k}`").alias("original")) for k in table.keys])
+    long = table.df.select(F.col(ROW).alias("row_id"), F.inline(cells))
+    return long.join(last, ["row_id", "column_key"]).select("row_id", "column_key", "original", F.col("c.value").alias("effective"), F.col("c.actor_id").alias("corrected_by"), F.col("c.reason").alias("reason"))
+
+
+def rename_column(table: Table, key: str, label: str) -> Table:
+    """Another label; the key stays."""
+    if key not in table.keys or not label.strip():
+        raise ValueError("a known column gets a label")
+    return Table(table.table_id, table.df, table.keys, table.labels | {key: label}, table.title, table.inputs)
+
+
+def mark_unresolved(issues: DataFrame, table_id: str, row: str, column: str | None, reason: str) -> DataFrame:
+    """issues(issue_id, table_id, row_id, column_key, code, severity, resolved, by_person) with one that a person raised."""
+    if not reason.strip():
+        raise ValueError("a reason is wanted")
+    spark = issues.sparkSession
+    one = spark.range(1).select(row_id("person", table_id, row, column, reason).alias("issue_id"), F.lit(table_id).alias("table_id"), F.lit(row).alias("row_id"), F.lit(column).cast("string").alias("column_key"), F.lit("marked_unresolved").alias("code"), F.lit("error").alias("severity"), F.lit(False).alias("resolved"), F.lit(True).alias("by_person"))
+    return issues.unionByName(one.join(issues.select("issue_id"), "issue_id", "left_anti").select(*issues.columns))
+
+
+def resolve_issues(issues: DataFrame, ids: list[str]) -> DataFrame:
+    """issues with those resolved that people raised; the parsers' own are resolved by repairs alone."""
+    return issues.withColumn("resolved", F.col("resolved") | (F.col("issue_id").isin(*ids) & F.col("by_person")))
+
+
+#: Codes of parsers' issues that corrections of cells repair.
+REPAIRABLE = ("spreadsheet_error", "formula_cache_missing", "citation_missing", "table_unresolved")
+
+
+def repaired(issues: DataFrame, scope: DataFrame, corrections: DataFrame) -> DataFrame:
+    """issues with resolved for those of REPAIRABLE all of whose cells people corrected, and open again for those of which not all are any more.
+
+    scope(issue_id, row_id, column_key) lists the cells that an issue is about; issues have n_cells, how many
+    there must be, so that lost cells repair nothing. corrections(row_id, column_key, actor_id, ...).
+    """
+    done = corrections.where("actor_id is not null").select("row_id", "column_key").distinct().withColumn("_done", F.lit(True))
+    cells = scope.distinct().join(done, ["row_id", "column_key"], "left").groupBy("issue_id").agg(F.count(F.lit(1)).alias("_n"), F.count("_done").alias("_fixed"))
+    rows = issues.join(cells, "issue_id", "left")
+    fine = F.coalesce((F.col("_n") == F.col("n_cells")) & (F.col("_fixed") == F.col("_n")), F.lit(False))
+    mine = F.col("code").isin(*REPAIRABLE)
+    return rows.withColumn("resolved", F.when(mine, fine).otherwise(F.col("resolved"))).select(*issues.columns)
+
+
+def set_citations(locators: DataFrame, corrections: DataFrame) -> DataFrame:
+    """locators(row_id, column_key, page, bbox) with the last box that corrections(row_id, column_key, page, bbox, seq) give; a null column means the row's whole block."""
+    fine = (F.size("bbox") == 4) & F.forall("bbox", lambda x: (x >= 0) & (x <= 1)) & (F.col("bbox")[0] < F.col("bbox")[2]) & (F.col("bbox")[1] < F.col("bbox")[3]) & (F.col("page") >= 1)
+    good = corrections.where(fine)
+    last = lambda df, *by: df.groupBy(*by).agg(F.max_by(F.struct("seq", "page", "bbox"), "seq").alias("c"))
+    own = last(good.where("column_key is not null"), "row_id", "column_key").withColumnRenamed("c", "_own")
+    whole = last(good.where("column_key is null"), "row_id").withColumnRenamed("c", "_whole")
+    rows = locators.join(own, ["row_id", "column_key"], "left").join(whole, "row_id", "left")
+    new = F.when(F.coalesce(F.col("_own.seq"), F.lit(-1)) >= F.coalesce(F.col("_whole.seq"), F.lit(-1)), F.col("_own")).otherwise(F.col("_whole"))
+    return rows.withColumn("_new", new).select("row_id", "column_key", F.coalesce("_new.page", "page").alias("page"), F.coalesce("_new.bbox", "bbox").alias("bbox"))
+
+
 def exclude_rows(table: Table, excluded: DataFrame) -> Table:
     """Without the rows of excluded(row_id, reason); each needs a reason."""
     return table.with_df(table.df.join(excluded.where("trim(coalesce(reason, '')) <> ''").select(F.col("row_id").alias(ROW)).distinct(), ROW, "left_anti"))
@@ -59,7 +119,7 @@ def narrative_parents(table: Table, is_record: Column) -> DataFrame:
 
     The carry is by range partitions: the last record of each is brought to the next, so no task sees all rows.
     """
-    parts = table.df.select(ROW, POS, F.when(is_record, F.col(ROW)).alias("_own")).repartitionByRange(F.col(POS)).withColumn("_part", F.spark_partition_id()).persist()
+    parts = checkpointed(table.df.select(ROW, POS, F.when(is_record, F.col(ROW)).alias("_own")).repartitionByRange(F.col(POS)).withColumn("_part", F.spark_partition_id()))
     tails = parts.where("_own is not null").groupBy("_part").agg(F.max_by("_own", POS).alias("_tail")).withColumnRenamed("_part", "_before")
     inside = F.last("_own", ignorenulls=True).over(Window.partitionBy("_part").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0))
     spans = tails.withColumn("_until", F.lead("_before", 1, 1 << 30).over(Window.orderBy("_before")))

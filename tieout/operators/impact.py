@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
+from ..functions.decimals import canonical_text
 
 #: Rounds after which what was seen becomes one table again.
 CUT = 8
@@ -50,17 +51,20 @@ def cyclic(edges: DataFrame, most: int = 64) -> DataFrame:
     return paths.where("source = target").select(F.col("source").alias("node"))
 
 
-def route(required_failed: Column, required_unknown: Column, evidence_complete: Column, context_complete: Column, unverifiable: Column, disagreement: Column) -> Column:
-    """BLOCKED where a required check failed or can't be told, READY only where nothing is left to look at."""
-    blocked = required_failed | required_unknown | ~evidence_complete | ~context_complete
-    return F.when(F.coalesce(blocked, F.lit(True)), "BLOCKED").when(F.coalesce(unverifiable | disagreement, F.lit(True)), "NEEDS_REVIEW").otherwise("READY")
-
-
 def priority(amount: Column, least: str, outputs: Column, many: int) -> Column:
-    return F.when((F.abs(amount) >= F.lit(least).cast("decimal(38,10)")) | (outputs >= many), "HIGH").otherwise("STANDARD")
-
-
-def agreement(left: Column, right: Column) -> Column:
-    """Two readings of one value, each a text that may be missing or no number."""
-    x, y = (F.when(c.rlike(r"^[+-]?(?:[0-9]{1,18}(?:\.[0-9]{0,10})?|\.[0-9]{1,10})$"), c.cast("decimal(38,10)")) for c in (left, right))
-    return F.when(right.isNull(), "ABSENT").when(left.isNull() | x.isNull() | y.isNull(), "UNKNOWN").when(x == y, "AGREE").otherwise("DISAGREE")
+    """HIGH where an amount (a DECIMAL) or the number of outputs that depend on it is large."""
+    return F.when((F.abs(amount) >= F.lit(canonical_text(least, negative=False)).cast("decimal(38,12)")) | (outputs >= many), "HIGH").otherwise("STANDARD")
+
+
+def dependencies(recipe: dict, output: str | None = None) -> set[str]:
+    """The tables and steps that a step of a recipe (by default its output) is made of, with the tables that its checks read."""
+    steps = {s["id"]: s for s in recipe.get("steps", [])}
+    todo = [output or recipe["output"]] + ([c.get("table", recipe["output"]) for c in recipe.get("checks", [])] if output is None else [])
+    found: set[str] = set()
+    while todo:
+        name = todo.pop()
+        if name not in found:
+            found.add(name)
+            step = steps.get(name, {})
+            todo += [x for x in (step.get("input"), step.get("right")) if x]
+    return found

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Table
 from . import checks
+from .lineage import lineage
 from .steps import STEPS, issues, together
 
 MOST_STEPS, MOST_CHECKS = 64, 100
@@ -22,6 +23,10 @@ class Result:
     #: (id, type, table_id, passed), one row a check
     checks: DataFrame | None
 
+    def lineage(self, keys: list[str] | None = None) -> DataFrame:
+        """The source cells of the output's cells."""
+        return lineage(self.output, keys)
+
     def rows(self) -> DataFrame:
         return self.output.df.select(*[F.col(f"`{k}`") for k in self.output.keys])
 
@@ -43,7 +48,7 @@ def run_recipe(tables: list[Table], recipe: dict) -> Result:
         if step.get("input") not in known or step.get("op") not in STEPS:
             raise ValueError(f"step {step['id']}: unknown input or operation")
         made, new = STEPS[step["op"]](known[step["input"]], step, known)
-        known[step["id"]] = Table(step["id"], made.df, made.keys, made.labels, step.get("title", step["id"]))
+        known[step["id"]] = replace(made, table_id=step["id"], title=step.get("title", step["id"]))
         found += new
     output = known.get(recipe.get("output"))
     if output is None:
@@ -58,5 +63,5 @@ def run_recipe(tables: list[Table], recipe: dict) -> Result:
         row = passed.select(F.lit(check.get("id", f"check-{i + 1}")).alias("id"), F.lit(check["type"]).alias("type"), F.lit(on.table_id).alias("table_id"), "passed")
         results.append(row)
     empty = output.df.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    found.append(issues(empty, "empty_output", "the recipe produced no rows", output.table_id, row=None, severity="warning"))
+    found.append(issues(empty, "empty_output", "no_rows", output.table_id, row=None, severity="warning"))
     return Result(output, known, together(found), together(results))

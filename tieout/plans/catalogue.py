@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning
 from ..model import Table, table_of
-from ..operators import checks, discovery, impact, reconcile, requirements, revisions
+from ..operators import checks, discovery, impact, pack, reconcile, requirements, review, revisions
 from ..operators.recipe import run_recipe
 from ..streaming import windows
 
@@ -212,18 +212,30 @@ def check_total_and_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'difference' AS status, CAST(o_custkey AS VARCHAR) AS k0, count(*) AS n_rows FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') GROUP BY o_custkey""")
 def check_reference_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = table_of(frame(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'"), "customer", ["c_custkey"], F.col("c_custkey"))
-    return checks.review_reference(orders(spark, sf_dir, "o_custkey"), ["o_custkey"], right, ["c_custkey"])
+    return _findings([orders(spark, sf_dir, "o_custkey"), right], {"kind": "reference", "left": side("orders", "o_custkey"), "right": side("customer", "c_custkey")})
+
+
+def side(dataset: str, *columns: str, **more) -> dict:
+    return {"dataset_id": dataset, "columns": list(columns), "header_row_id": None, **more}
+
+
+def _findings(tables: list[Table], check: dict) -> DataFrame:
+    found = review.run_review([review.Source(t) for t in tables], {"checks": [{"id": "c", "confirmed": True, **check}]}).findings
+    return found.where("check_id = 'c'").select("status", F.col("key")[0].alias("k0"), "n_rows")
 
 
 @query("""SELECT 'difference' AS status, p_name AS k0, count(*) AS n_rows FROM part GROUP BY p_name HAVING count(*) > 1""")
 def check_unique_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.review_unique(parts(spark, sf_dir, "p_name"), ["p_name"])
+    return _findings([parts(spark, sf_dir, "p_name")], {"kind": "unique", "left": side("part", "p_name")})
 
 
 @query(f"""WITH l AS (SELECT o_orderkey AS k, sum({M("o_totalprice")}) AS a FROM orders GROUP BY 1), r AS (SELECT l_orderkey AS k, sum({M("l_extendedprice")}) AS b FROM lineitem GROUP BY 1)
 SELECT CASE WHEN a IS NULL OR b IS NULL OR abs(a - b) > 1000 THEN 'difference' ELSE 'passed' END AS status, CAST(k AS VARCHAR) AS k0, CAST(a AS VARCHAR) AS left_total, CAST(b AS VARCHAR) AS right_total FROM l FULL JOIN r USING (k)""")
 def check_totals_order_vs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.review_totals(orders(spark, sf_dir, "o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], lines(spark, sf_dir, "l_orderkey", "l_extendedprice"), "l_extendedprice", ["l_orderkey"], "1000")
+    check = {"id": "c", "confirmed": True, "kind": "totals", "tolerance": "1000", "left": side("orders", "o_totalprice", group_by=["o_orderkey"]), "right": side("lineitem", "l_extendedprice", group_by=["l_orderkey"])}
+    tables = [review.Source(orders(spark, sf_dir, "o_orderkey", "o_totalprice")), review.Source(lines(spark, sf_dir, "l_orderkey", "l_extendedprice"))]
+    found = review.run_review(tables, {"checks": [check]}).findings.where("check_id = 'c'")
+    return found.select("status", F.col("key")[0].alias("k0"), F.col("observed").alias("left_total"), F.col("expected").alias("right_total"))
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +277,8 @@ def recon_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recon_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = frame(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("batch"), F.lit("1").alias("account"), F.lit("EUR").alias("currency"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("amount"))
     cols = {r: r for r in ("batch", "account", "currency", "date", "amount")}
-    rows = reconcile.records(table_of(df, "book", list(cols)), "journal", cols)
-    n = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n_lines"))
-    got = reconcile.batched(rows)
-    return got.join(n, "batch").select(F.when(F.col("issue").isNotNull(), "needs_input").otherwise("batch").alias("kind"), "n_lines", F.when(F.col("issue").isNull(), F.col("amount").cast("decimal(18,2)").cast("string")).alias("amount"), "batch")
+    got = reconcile.batched(reconcile.records(table_of(df, "book", list(cols)), "journal", cols))
+    return got.select(F.when(F.col("issue").isNotNull(), "needs_input").otherwise("batch").alias("kind"), F.col("n_rows").alias("n_lines"), F.when(F.col("issue").isNull(), F.col("amount").cast("decimal(18,2)").cast("string")).alias("amount"), "batch")
 
 
 def _revised(spark: SparkSession, sf_dir: str) -> tuple[Table, Table]:
@@ -330,29 +340,22 @@ def overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT CASE WHEN o_orderstatus = 'P' THEN 'BLOCKED' WHEN o_orderpriority LIKE '1%' THEN 'NEEDS_REVIEW' ELSE 'READY' END AS route, CASE WHEN {M("o_totalprice")} >= 200000 OR o_custkey % 10 >= 8 THEN 'HIGH' ELSE 'STANDARD' END AS priority, count(*) AS n FROM orders GROUP BY ALL""")
 def route_and_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, no, yes = frame(spark, sf_dir, "orders"), F.lit(False), F.lit(True)
-    where = impact.route(F.col("o_orderstatus") == "P", no, yes, yes, F.col("o_orderpriority").startswith("1"), no)
-    return o.select(where.alias("route"), impact.priority(F.col("o_totalprice").cast("decimal(18,2)"), "200000", F.col("o_custkey") % 10, 8).alias("priority")).groupBy("route", "priority").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH g AS (SELECT l_suppkey, sum({M("l_extendedprice")}) AS b, sum({M("l_tax")}) AS t FROM lineitem GROUP BY 1) SELECT 'fee' AS kind, CASE WHEN round_even(sum(b) * 0.02, 2) = sum(t) THEN 'PASS' ELSE 'FAIL' END AS status FROM g
-UNION ALL SELECT 'required_fields', 'PASS' UNION ALL SELECT 'bank_balance', 'PASS' UNION ALL SELECT 'total', 'FAIL'""")
-def requirement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lines(spark, sf_dir, "l_extendedprice", "l_tax", "l_quantity")
-    closing = str(frame(spark, sf_dir, "lineitem").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)") - F.col("l_quantity").cast("decimal(18,2)"))).first()[0])
-    kinds = {"fee": requirements.fee(t, "l_extendedprice", "l_tax", "0.02"), "required_fields": requirements.required_fields(t, ["l_tax"]), "bank_balance": requirements.bank_balance(t, "0", closing, "l_extendedprice", "l_quantity"), "total": requirements.total(t, "l_quantity", "1")}
-    out = None
-    for name, df in kinds.items():
-        row = df.select(F.lit(name).alias("kind"), "status")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("""SELECT CAST(doc_id AS BIGINT) AS doc_id, trim(regexp_replace(lower(regexp_replace(source || 'Ref' || lang, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS words,
- CASE WHEN regexp_matches(left(text, 1), '[=+@-]') THEN '''' || left(text, 1) ELSE left(text, 1) END AS safe FROM documents""")
+    o = frame(spark, sf_dir, "orders")
+    packs = o.select(F.col("o_orderkey").alias("pack_id"), F.lit(True).alias("native"), F.lit(False).alias("unverifiable"), F.lit(True).alias("evidence_complete"), F.lit(True).alias("context_complete"), F.col("o_orderpriority").startswith("1").alias("unresolved"), F.lit("AGREE").alias("agreement"), F.lit(None).cast("string").alias("confidence"))
+    status = F.when(F.col("o_orderstatus") == "P", "FAIL").otherwise("PASS")
+    made = o.select(F.col("o_orderkey").alias("pack_id"), F.lit("fee").alias("id"), F.lit(True).alias("required"), status.alias("status"), F.lit(True).alias("applicable"), F.lit("").alias("justification"))
+    routed = pack.routes(packs, made, ["fee"]).join(o, F.col("pack_id") == F.col("o_orderkey"))
+    return routed.select("route", impact.priority(F.col("o_totalprice").cast("decimal(18,2)"), "200000", F.col("o_custkey") % 10, 8).alias("priority")).groupBy("route", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""SELECT CAST(doc_id AS BIGINT) AS doc_id, trim(regexp_replace(lower(regexp_replace(source || 'Ref' || lang, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS words,
+ md5(CASE WHEN regexp_matches(text, '^[ \t\n\x0B\f\r]*[=+@-]|^[\t\r\n]') THEN chr(39) || text ELSE text END) AS safe
+FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 9 = 0 THEN ' =' || text WHEN doc_id % 9 = 1 THEN chr(9) || text ELSE text END AS text FROM documents)""")
 def label_words_and_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as cells, some of them made to look like formulas."""
     d = frame(spark, sf_dir, "documents")
-    return d.select("doc_id", cleaning.label_words(F.concat("source", F.lit("Ref"), "lang")).alias("words"), cleaning.formula_safe(F.substring("text", 1, 1)).alias("safe"))
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit(" ="), "text")).when(F.col("doc_id") % 9 == 1, F.concat(F.lit("\t"), "text")).otherwise(F.col("text"))
+    return d.select("doc_id", cleaning.label_words(F.concat("source", F.lit("Ref"), "lang")).alias("words"), F.md5(cleaning.formula_safe(text)).alias("safe"))
 
 
 @query("""SELECT CAST(user_id AS BIGINT) AS user_id, CAST(count(*) AS BIGINT) AS shown, CAST(max(event_id) AS BIGINT) AS last_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 12 GROUP BY user_id""")

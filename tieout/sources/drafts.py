@@ -9,19 +9,23 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CELLS = "path string, sheet string, row long, column int, value string, formula string"
-ISSUES = "path string, code string, detail string"
+#: A row for each cell and each issue of a file; kind and number_format are a workbook's, region its declared table.
+CELLS = "path string, sha256 string, kind string, sheet string, row long, column int, value string, formula string, cell_type string, number_format string, hidden boolean, region string, code string"
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE, SAMPLE_ROWS = 1 << 16, 100
 BATCH = 20_000
+#: Formats that workbooks don't spell out.
+NUMBER_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@"}
 
 
 def decoded(content: bytes) -> tuple[str | None, str | None]:
@@ -40,17 +44,21 @@ def decoded(content: bytes) -> tuple[str | None, str | None]:
 
 
 def delimiter(text: str, path: str) -> tuple[str, str | None]:
-    """The delimiter by which most sampled records agree on several fields; ties and guesses are reported."""
-    sample = text[:SAMPLE]
-    scores = {}
+    """The delimiter by which most whole records of a sample agree on several fields; ties and guesses are reported."""
+    sample, scores = text[:SAMPLE], {}
     for d in DELIMITERS:
+        records: list[list[str]] = []
         try:
-            sizes = [len(r) for _, r in zip(range(SAMPLE_ROWS), csv.reader(io.StringIO(sample, newline=""), delimiter=d)) if r]
+            for _, r in zip(range(SAMPLE_ROWS + 1), csv.reader(io.StringIO(sample, newline=""), delimiter=d)):
+                records.append(r)
         except csv.Error:
             continue
-        wide = [s for s in sizes if s > 1]
+        if len(text) > SAMPLE and len(records) <= SAMPLE_ROWS:
+            records = records[:-1]  # the sample may end inside its last record
+        sizes = [len(r) for r in records[:SAMPLE_ROWS] if any(r)]
+        wide = [n for n in sizes if n > 1]
         if wide:
-            most = max(set(wide), key=wide.count)
+            most = max(sorted(set(wide)), key=wide.count)
             scores[d] = (wide.count(most) / len(sizes), most)
     if path.lower().endswith(".tsv") and "\t" in scores:
         return "\t", None
@@ -62,7 +70,7 @@ def delimiter(text: str, path: str) -> tuple[str, str | None]:
 
 
 def csv_rows(content: bytes, path: str) -> Iterator[tuple[str, int, list[str] | str]]:
-    """('row', number, cells) of each record that isn't blank, and ('issue', number, code)."""
+    """('row', number, cells) of each record that isn't blank, and ('issue', record or count, code): one for each ragged record."""
     text, issue = decoded(content)
     if issue:
         yield "issue", 0, issue
@@ -71,21 +79,23 @@ def csv_rows(content: bytes, path: str) -> Iterator[tuple[str, int, list[str] |
     d, issue = delimiter(text, path)
     if issue:
         yield "issue", 0, issue
-    width, ragged, n = None, 0, 0
+    width, n, blank = None, 0, 0
     try:
         for number, record in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=d, strict=True), 1):
             if not any(record):
+                blank += 1
                 continue
             n += 1
             width = len(record) if width is None else width
-            ragged += len(record) != width
+            if len(record) != width:
+                yield "issue", number, "ragged_row"
             yield "row", number, record
     except csv.Error:
         yield "issue", n, "malformed_csv"
     if not n:
         yield "issue", 0, "no_tabular_content"
-    if ragged:
-        yield "issue", ragged, "ragged_rows"
+    if blank:
+        yield "issue", blank, "blank_records"
 
 
 def _local(tag: str) -> str:
@@ -93,11 +103,17 @@ def _local(tag: str) -> str:
 
 
 def _safe_xml(data: bytes) -> bytes:
-    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
-        raise ValueError("document types and entities are refused")
+    """The whole part, if it declares no document type or entity, in whatever encoding."""
+    for name in (b"<!DOCTYPE", b"<!ENTITY"):
+        if name in data.upper() or name.decode().encode("utf-16-le") in data or name.decode().encode("utf-16-be") in data:
+            raise UnsafeWorkbook(name.decode())
     return data
 
 
+class UnsafeWorkbook(ValueError):
+    """A part that is refused."""
+
+
 def column_number(reference: str) -> int:
     n = 0
     for c in reference:
@@ -107,60 +123,136 @@ def column_number(reference: str) -> int:
     return n
 
 
-def xlsx_rows(content: bytes) -> Iterator[tuple]:
-    """('cell', sheet, row, column, value, formula) of each cell that holds something, or ('issue', code). Numbers stay as they are written."""
+def _relations(book: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """id -> (kind, part) of what a part of the workbook refers to, inside the workbook alone."""
+    folder, _, name = part.rpartition("/")
+    path = f"{folder}/_rels/{name}.rels"
+    if path not in book.namelist():
+        return {}
+    out = {}
+    for r in ElementTree.fromstring(_safe_xml(book.read(path))):
+        target = r.get("Target") or ""
+        if r.get("TargetMode") == "External":
+            continue
+        steps: list[str] = [] if target.startswith("/") else folder.split("/")
+        for step in target.strip("/").split("/"):
+            if step == ".." and not steps or "\\" in step:
+                raise UnsafeWorkbook(target)
+            steps = steps[:-1] if step == ".." else [*steps, step]
+        out[r.get("Id")] = ((r.get("Type") or "").rpartition("/")[2], "/".join(steps))
+    return out
+
+
+def _formats(book: zipfile.ZipFile) -> list[str]:
+    """The number format of each cell style."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    own, styles = dict(NUMBER_FORMATS), []
+    for part in ElementTree.fromstring(_safe_xml(book.read("xl/styles.xml"))):
+        if _local(part.tag) == "numFmts":
+            own |= {int(f.get("numFmtId")): f.get("formatCode") for f in part}
+        elif _local(part.tag) == "cellXfs":
+            styles = [int(x.get("numFmtId") or 0) for x in part]
+    return [own.get(i, f"format {i}") for i in styles]
+
+
+def _area(reference: str) -> tuple[int, int, int, int]:
+    """(first row, first column, last row, last column) of an A1 reference."""
+    ends = [re.fullmatch(r"\$?([A-Za-z]+)\$?([0-9]+)", e) for e in (reference.split(":") * 2)[:2]]
+    if not all(ends):
+        raise ValueError(reference)
+    (c1, r1), (c2, r2) = ((column_number(e[1]), int(e[2])) for e in ends)
+    return r1, c1, r2, c2
+
+
+def xlsx_rows(content: bytes, strict: bool = False) -> Iterator[tuple]:
+    """('sheet', name, hidden), ('merged' | 'table', sheet, reference, name), ('cell', sheet, row, column, value, formula, type, number format) of each cell that holds something, and ('issue', code).
+
+    Numbers stay as they are written. strict refuses workbooks with macros or links to others.
+    """
     try:
         book = zipfile.ZipFile(io.BytesIO(content))
         names = set(book.namelist())
+        if strict and any("vbaProject" in n or n.startswith("xl/externalLinks/") or n == "EncryptedPackage" for n in names):
+            raise UnsafeWorkbook("macros or links")
         shared = []
         if "xl/sharedStrings.xml" in names:
             for item in ElementTree.fromstring(_safe_xml(book.read("xl/sharedStrings.xml"))):
                 shared.append("".join(t.text or "" for t in item.iter() if _local(t.tag) == "t"))
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(_safe_xml(book.read("xl/_rels/workbook.xml.rels")))}
+        formats, targets = _formats(book), _relations(book, "xl/workbook.xml")
         for s in ElementTree.fromstring(_safe_xml(book.read("xl/workbook.xml"))).iter():
             if _local(s.tag) != "sheet":
                 continue
-            target = next((targets.get(v) for k, v in s.attrib.items() if _local(k) == "id"), None) or ""
-            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            if ".." in part or part not in names:
+            yield "sheet", s.get("name"), s.get("state", "visible") != "visible"
+            _, part = next((targets[v] for k, v in s.attrib.items() if _local(k) == "id" and v in targets), ("", ""))
+            if part not in names:
                 yield "issue", "worksheet_missing"
                 continue
-            _safe_xml(book.read(part)[:4096])
-            for _, row in ElementTree.iterparse(book.open(part)):
-                if _local(row.tag) != "row":
-                    continue
-                for cell in row:
-                    kind, value, formula = cell.get("t"), None, None
-                    for x in cell.iter():
-                        if _local(x.tag) == "v" or kind == "inlineStr" and _local(x.tag) == "t":
-                            value = (value or "") + (x.text or "")
-                        elif _local(x.tag) == "f":
-                            formula = x.text or ""
-                    if kind == "s" and value is not None:
-                        value = shared[int(value)]
-                    if kind == "e":
-                        yield "issue", "spreadsheet_error"
-                    if formula is not None and value is None:
-                        yield "issue", "formula_cache_missing"
-                    if value is not None or formula is not None:
-                        yield "cell", s.get("name"), int(row.get("r")), column_number(cell.get("r")), value, formula
-                row.clear()
-    except (zipfile.BadZipFile, KeyError, ValueError, IndexError, ElementTree.ParseError):
+            for kind, table in _relations(book, part).values():
+                if kind == "table" and table in names:
+                    root = ElementTree.fromstring(_safe_xml(book.read(table)))
+                    yield "table", s.get("name"), root.get("ref"), root.get("displayName") or root.get("name")
+            yield from _sheet(io.BytesIO(_safe_xml(book.read(part))), s.get("name"), shared, formats)
+    except UnsafeWorkbook:
+        yield "issue", "unsafe_workbook"
+    except (zipfile.BadZipFile, KeyError, ValueError, IndexError, TypeError, ElementTree.ParseError):
         yield "issue", "malformed_workbook"
 
 
+def _sheet(part: io.BytesIO, name: str, shared: list[str], formats: list[str]) -> Iterator[tuple]:
+    for _, node in ElementTree.iterparse(part):
+        tag = _local(node.tag)
+        if tag == "mergeCell":
+            yield "merged", name, node.get("ref"), None
+        if tag != "row":
+            continue
+        for cell in node:
+            kind, value, formula = cell.get("t", "n"), None, None
+            for x in cell.iter():
+                if _local(x.tag) == "v" or kind == "inlineStr" and _local(x.tag) == "t":
+                    value = (value or "") + (x.text or "")
+                elif _local(x.tag) == "f":
+                    formula = x.text or ""
+            if kind == "s" and value is not None:
+                value = shared[int(value)]
+            if kind == "e":
+                yield "issue", "spreadsheet_error"
+            if formula is not None and value is None:
+                yield "issue", "formula_cache_missing"
+            style = int(cell.get("s") or 0)
+            if value is not None or formula is not None:
+                yield "cell", name, int(node.get("r")), column_number(cell.get("r")), value, formula, kind, formats[style] if style < len(formats) else None
+        node.clear()
+
+
 def _draft(path: str, content: bytes) -> Iterator[tuple]:
+    """Tuples of CELLS without path and sha256."""
+    issue = lambda code, number=None, sheet=None: ("issue", sheet, number, None, None, None, None, None, None, None, code)
     if content[:2] == b"PK":
-        yield from xlsx_rows(content)
+        hidden: dict[str, bool] = {}
+        tables: dict[str, list[tuple]] = {}
+        for x in xlsx_rows(content):
+            if x[0] == "issue":
+                yield issue(x[1])
+            elif x[0] == "sheet":
+                hidden[x[1]] = x[2]
+            elif x[0] == "table":
+                tables.setdefault(x[1], []).append((*_area(x[2]), x[3]))
+            elif x[0] == "merged":
+                yield "merged", x[1], None, None, x[2], None, None, None, hidden.get(x[1]), None, None
+            else:
+                _, sheet, row, column, value, formula, kind, number_format = x
+                region = next((t[4] for t in tables.get(sheet, ()) if t[0] <= row <= t[2] and t[1] <= column <= t[3]), None)
+                yield "cell", sheet, row, column, value, formula, kind, number_format, hidden.get(sheet), region, None
     elif path.lower().endswith((".csv", ".tsv", ".txt")):
         for kind, number, what in csv_rows(content, path):
             if kind == "issue":
-                yield "issue", what
+                yield issue(what, number, "")
             else:
                 for i, value in enumerate(what, 1):
-                    yield "cell", "", number, i, value, None
+                    yield "cell", "", number, i, value, None, None, None, False, None, None
     else:
-        yield "issue", "unsupported_format"
+        yield issue("unsupported_format")
 
 
 def _columns(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -168,24 +260,24 @@ def _columns(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> p
 
 
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, kind, sheet, row, column, value, formula, code): a row for each cell and each issue of the files at path (CSV, TSV, TXT, XLSX)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """CELLS: a row for each cell, merged range and issue of the files at path (CSV, TSV, TXT, XLSX). A file is read by one task."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        names = ["path", "kind", "sheet", "row", "column", "value", "formula", "code"]
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
+        names = [part.split()[0] for part in CELLS.split(", ")]
         for b in batches:
-            for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for p, content, digest in zip(*(b.column(i).to_pylist() for i in range(3))):
                 held: list[tuple] = []
                 for x in _draft(p, content):
-                    held.append((p, "cell", *x[1:], None) if x[0] == "cell" else (p, "issue", None, None, None, None, None, x[1]))
+                    held.append((p, digest, *x))
                     if len(held) >= BATCH:
                         yield _columns(held, types, names)
                         held = []
                 if held:
                     yield _columns(held, types, names)
 
-    return files.mapInArrow(run, "path string, kind string, sheet string, row long, column int, value string, formula string, code string")
+    return files.mapInArrow(run, CELLS)
 
 
 def as_rows(cells: DataFrame, width: int) -> DataFrame:
@@ -196,6 +288,13 @@ def as_rows(cells: DataFrame, width: int) -> DataFrame:
 
 def split_regions(rows: DataFrame) -> DataFrame:
     """rows with region: a new one begins where a row number is left out."""
-    from pyspark.sql import Window
-
     return rows.withColumn("region", F.col("row") - F.row_number().over(Window.partitionBy("path", "sheet").orderBy("row")))
+
+
+def suggested_header(rows: DataFrame) -> DataFrame:
+    """(path, sheet, row): the first row of each table, if all its cells hold text and none is a number."""
+    keys = [c for c in rows.columns if c.startswith("c") and c[1:].isdigit()]
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("path", "sheet").orderBy("row"))).where("_n = 1")
+    text = [F.coalesce(F.trim(F.col(k)), F.lit("")) for k in keys]
+    fine = reduce(Column.__and__, [(t != "") & ~t.rlike(r"^[+-]?[0-9.,]+$") for t in text])
+    return first.where(fine).select("path", "sheet", "row")
