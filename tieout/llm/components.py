@@ -12,8 +12,8 @@ from .common import checkpointed
 HUBS, LEAST_HUB = 1024, 4096
 
 
-def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
-    """edges(u, v) with m from least(u, m, n): that of hubs is broadcast, so that no task gets all edges of one."""
+def with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """edges(u, ..) with m from least(u, m, n), n being how often u comes in edges: that of hubs is broadcast, so that no task gets all edges of one."""
     hub = F.col("n") > max(LEAST_HUB, ends // HUBS)
     hubs = F.broadcast(least.where(hub).select("u", F.col("m").alias("_m")))
     marked = edges.join(hubs, "u", "left")
@@ -40,10 +40,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both.where("v > u"), least, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both.where("v > u"), least, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = checkpointed(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, least, 2 * now[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = with_least(large, least, 2 * now[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"no stars after {max_rounds} rounds")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, keyed, one_of_each
-from .components import connected_components
+from .components import connected_components, with_least
 from .simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
 BANDS, ROWS = 24, 6
@@ -123,8 +123,9 @@ def near_copies(rows: DataFrame, width: int, similarity: str, block: int = BLOCK
     """
     half = max(1, block // 2)
     prints = checkpointed(rows.select("key", "text").mapInArrow(_prints(width), "key long, own binary, fp long, bands array<long>"))
-    nodes = prints.groupBy("own").agg(F.min("key").alias("node"))
-    kinds = checkpointed(prints.join(nodes, "own"))
+    nodes = prints.groupBy(F.col("own").alias("u")).agg(F.min("key").alias("m"), F.count(F.lit(1)).alias("n"))
+    # a set that very many rows have is joined by broadcast
+    kinds = checkpointed(with_least(prints.withColumnRenamed("own", "u"), nodes, prints.count()).withColumnsRenamed({"u": "own", "m": "node"}))
     keys = checkpointed(kinds.where("key = node").select("node", F.explode("bands").alias("band")))
     shared = keys.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("band", "rep")
     members = checkpointed(keys.join(shared, "band").where("rep < node").select("rep", "node").distinct())
