@@ -56,7 +56,7 @@ def finding_records(findings: DataFrame, records: DataFrame, tables: list[Table]
         cells = cells.join(last, ["row_id", "column_key"], "left")
         # a later edit of another kind may have replaced the cell: only a correction that still holds is shown
         held = F.col("c").isNotNull() & F.col("c.value").eqNullSafe(F.col("effective"))
-        cells = cells.select(*records.columns[:0], "match_key", "dataset_id", "row_id", "column_key", "effective", F.when(F.col("c").isNotNull(), F.col("original")).otherwise(F.col("effective")).alias("original"), F.when(held, F.col("c.actor_id")).alias("corrected_by"), F.when(held, F.col("c.reason")).alias("reason"))
+        cells = cells.select("match_key", "dataset_id", "row_id", "column_key", "effective", F.when(F.col("c").isNotNull(), F.col("original")).otherwise(F.col("effective")).alias("original"), F.when(held, F.col("c.actor_id")).alias("corrected_by"), F.when(held, F.col("c.reason")).alias("reason"))
     else:
         none = F.lit(None).cast("string")
         cells = cells.select("*", F.col("effective").alias("original"), none.alias("corrected_by"), none.alias("reason"))
