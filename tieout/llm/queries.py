@@ -11,6 +11,7 @@ from .embedding_links import embedding_links
 from .fill_middle import fill_middle
 from .lattice_lm import lattice_scores
 from .mixing import mixed, quality_domain
+from .periodic_runs import periodic_runs, run_digests, with_periods
 from .piece_codec import encode_decode
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
@@ -61,6 +62,10 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_periods(table(spark, sf_dir, "documents"))))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle(table(spark, sf_dir, "documents"))
 
