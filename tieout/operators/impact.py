@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
 from ..functions.decimals import canonical_text
+from .strong import strong_components
 
 #: Rounds after which what was seen becomes one table again.
 CUT = 8
@@ -32,23 +33,9 @@ def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
             seen = checkpointed(seen)
 
 
-def cyclic(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node): nodes that a path leads back to. Nothing that depends on one is independent of a change.
-
-    The most rounds of trimming only make the search smaller. It doubles the length of known paths until no pair is new.
-    """
-    e = checkpointed(edges.select("source", "target").where("source is not null and target is not null").distinct())
-    for _ in range(most):  # nodes without a way in or out are no part of a cycle
-        inner = checkpointed(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        if inner.count() == e.count():
-            break
-        e = inner
-    paths, before = e, -1
-    while (now := paths.count()) != before:
-        before = now
-        longer = paths.alias("p").join(paths.alias("q"), F.col("p.target") == F.col("q.source")).select("p.source", "q.target")
-        paths = checkpointed(paths.unionByName(longer).distinct())
-    return paths.where("source = target").select(F.col("source").alias("node"))
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(node): nodes that a path leads back to. Nothing that depends on one is independent of a change."""
+    return strong_components(edges).where("cyclic").select("node")
 
 
 def priority(amount: Column, least: str, outputs: Column, many: int) -> Column:

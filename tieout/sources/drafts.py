@@ -1,7 +1,7 @@
 """Draft tables out of files: every cell as text with its place, no header taken, odd rows kept and reported.
 
-Each file is read by one task; many files spread over the cluster. A file's rows come out as they are
-parsed, so a task holds the file's bytes and one row.
+Workbooks are read by one task each; many files spread over the cluster. Delimited files are read by splits.
+A workbook's rows come out as they are parsed, so a task holds the file's bytes and one row.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ CELLS = "path string, sha256 string, kind string, sheet string, row long, column
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE, SAMPLE_ROWS = 1 << 16, 100
 BATCH = 20_000
+#: Delimited files up to so many bytes get the SHA-256 of their bytes.
+HASHED = 64 << 20
 #: Formats that workbooks don't spell out.
 NUMBER_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@"}
 
@@ -80,9 +82,10 @@ def csv_rows(content: bytes, path: str) -> Iterator[tuple[str, int, list[str] |
     if issue:
         yield "issue", 0, issue
     width, n, blank = None, 0, 0
+    csv.field_size_limit((1 << 31) - 1)
     try:
         for number, record in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=d, strict=True), 1):
-            if not any(record):
+            if not record:
                 blank += 1
                 continue
             n += 1
@@ -255,13 +258,12 @@ def _draft(path: str, content: bytes) -> Iterator[tuple]:
         yield issue("unsupported_format")
 
 
-def _columns(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+def columns_of(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def read_drafts(spark: SparkSession, path: str) -> DataFrame:
-    """CELLS: a row for each cell, merged range and issue of the files at path (CSV, TSV, TXT, XLSX). A file is read by one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
+def _read_whole(files: DataFrame) -> DataFrame:
+    """CELLS of files(path, content, sha256), each read by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
@@ -272,12 +274,35 @@ def read_drafts(spark: SparkSession, path: str) -> DataFrame:
                 for x in _draft(p, content):
                     held.append((p, digest, *x))
                     if len(held) >= BATCH:
-                        yield _columns(held, types, names)
+                        yield columns_of(held, types, names)
                         held = []
                 if held:
-                    yield _columns(held, types, names)
+                    yield columns_of(held, types, names)
+
+    return files.select("path", "content", "sha256").mapInArrow(run, CELLS)
+
 
-    return files.mapInArrow(run, CELLS)
+def read_drafts(spark: SparkSession, path: str) -> DataFrame:
+    """CELLS: a row for each cell, merged range and issue of the files at path (CSV, TSV, TXT, XLSX).
+
+    Delimited files are parsed by as many tasks as they have splits (see split_csv), workbooks and the few
+    delimited files that can't be split by one task each. sha256 is that of the file's bytes; a delimited file
+    of more than HASHED bytes has null there, as its bytes never come together.
+    """
+    from .split_csv import read_split_csv
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.col("_metadata.file_path").alias("path"), "content", F.sha2("content", 256).alias("sha256"), "length")
+    delimited = F.lower("path").rlike(r"\.(csv|tsv|txt)$")
+    out = _read_whole(files.where(~delimited))
+    if not files.select("path").where(delimited).take(1):
+        return out
+    cells, whole = read_split_csv(spark, path)
+    small = files.where(delimited & (F.col("length") <= HASHED)).select("path", F.col("sha256").alias("_sha256"))
+    cells = cells.join(small, "path", "left").withColumn("sha256", F.col("_sha256")).drop("_sha256").select(*out.columns)
+    if whole.take(1):
+        out = out.unionByName(_read_whole(files.where(delimited).join(whole, "path", "left_semi")))
+    return out.unionByName(cells)
 
 
 def as_rows(cells: DataFrame, width: int) -> DataFrame:
