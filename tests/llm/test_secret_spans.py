@@ -1,5 +1,10 @@
 """Secrets beside other spans, in allowed surroundings and in very long runs."""
 
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from tieout.llm import secret_scan
 
 
@@ -38,3 +43,26 @@ def test_clean_runs_have_no_span(spark):
     clean = ["550e8400-e29b-41d4-a716-446655440000", "2024-01-31T12-30-45_0500-2024", "2024-01-31_quarterly-report-by-country-final12", "src/main/words/only/file12", "the-quick-brown-fox-jumps-over-a-lazy-dog",
              "getElementsByTagNameFromDocument", "0123456789-abcdefghijklmnopqrstuvwxyz", "your-api-key-example-1234", "/usr/share/HTTPServer/mainWindow/file"]
     assert spans(spark, *clean) == [""] * len(clean)
+
+
+def test_long_candidates_take_time_in_proportion(spark):
+    rng, letters = random.Random(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    took = []
+    for n in (100, 250_000, 1_000_000):
+        text = "x " + "".join(rng.choices(letters, k=n)) + " y"
+        began = time.time()
+        row = secret_scan.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        took.append(time.time() - began)
+        assert "entropy_mixed" in row.spans
+    assert took[2] < 6 * took[1] + 5 and took[2] < 60, took
+
+
+def test_odd_tables(spark):
+    """No rows, null ids, repeated rows and nulls in any column: a row for each row."""
+    text = "a token=abcdef1 b " + "Zk8Qw3Lr7Tn1Vb5Yh9Mp2Xs4Cd6"
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, ""), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit("x"), "id": F.lit(None), "_base": F.lit(3)})
+    got = sorted(map(tuple, secret_scan.secret_spans(df).collect()), key=str)
+    one = next(r for r in got if r[0] == 1)
+    assert len(got) == 6 and got.count(one) == 2 and (None, *one[1:]) in got and sum(r[1:5] == (0, 0, 0, one[4]) or r[5] == "" for r in got) == 3
+    assert secret_scan.secret_spans(df.limit(0)).collect() == [] and secret_scan.redacted(df.limit(0)).collect() == []

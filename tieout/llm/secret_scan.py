@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: The patterns of the base kinds. Group 2 of ASSIGN is the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 6
@@ -60,40 +62,46 @@ def _entropy_spans(word: Column, start: Column) -> Column:
 
     counts holds how often each symbol is in the window, and sum the window's sum of c * log2(c). A step
     adds one symbol and takes one away: two counts change, and so do their two terms of the sum. The
-    entropy of a full window is log2(WINDOW) - sum / WINDOW.
+    entropy of a full window is log2(WINDOW) - sum / WINDOW. The candidate is split once, and a step carries
+    the counts, the sum, the open span and the closed ones, not the candidate; its symbols are
+    at most 66, so the work grows with the candidate's length alone.
     """
+    return let(F.split(word, ""), lambda chars: let(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("symbols"), word.rlike("^[0-9a-fA-F]+$").alias("hex")), lambda w: _walked(w, start)))
+
+
+def _walked(w: Column, start: Column) -> Column:
     terms = F.array(*[F.lit(round(SCALE * c * math.log2(c)) if c else 0).cast("long") for c in range(WINDOW + 2)])
-    is_hex = word.rlike("^[0-9a-fA-F]+$")
-    most = [math.floor(SCALE * WINDOW * (math.log2(WINDOW) - bits)) for bits in (HEX_BITS, MIXED_BITS)]
-    most = F.when(is_hex, F.lit(most[0])).otherwise(F.lit(most[1])).cast("long")
-    kind = F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_mixed")).cast("int")
-    chars = F.split(word, "")
-    symbols = F.array_distinct(chars)
-    codes = F.transform(chars, lambda c: (F.array_position(symbols, c) - 1).cast("int"))
-    zero = F.struct(
-        F.transform(symbols, lambda _: F.lit(0)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.array().cast(SPAN).alias("found"), codes.alias("codes"), most.alias("most"), kind.alias("kind")
-    )
-
-    def counted(acc, i):
-        x, y = F.get(acc["codes"], i), F.when(i >= WINDOW, F.get(acc["codes"], i - WINDOW)).otherwise(-1)
+    limits = [math.floor(SCALE * WINDOW * (math.log2(WINDOW) - bits)) for bits in (HEX_BITS, MIXED_BITS)]
+    most = F.when(w["hex"], F.lit(limits[0])).otherwise(F.lit(limits[1])).cast("long")
+    kind = F.when(w["hex"], KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_mixed")).cast("int")
+    code = lambda c: (F.array_position(w["symbols"], c) - 1).cast("int")
+    chars = w["chars"]
+    none = F.lit(-1)
+    # a step for each character: the code that comes, the one that goes and the place
+    steps = F.transform(chars, lambda c, i: F.struct(code(c).alias("x"), F.when(i >= WINDOW, code(F.get(chars, i - WINDOW))).otherwise(none).alias("y"), i.alias("i")))
+    zero = F.struct(F.transform(w["symbols"], lambda _: F.lit(0)).alias("counts"), F.lit(0).cast("long").alias("sum"), none.alias("from"), none.alias("to"), F.array().cast(SPAN).alias("found"))
+    span = lambda acc: F.struct(acc["from"].alias("start"), kind.alias("kind"), acc["to"].alias("end"))
+    closed = lambda acc: F.when(acc["from"] >= 0, F.array_append(acc["found"], span(acc))).otherwise(acc["found"])
+
+    def step(acc, s):
+        x, y = s["x"], s["y"]
         come = F.get(acc["counts"], x)
         go = F.when(y >= 0, F.get(acc["counts"], y) + F.when(x == y, 1).otherwise(0)).otherwise(0)
         total = acc["sum"] + F.get(terms, come + 1) - F.get(terms, come) + F.when(go > 0, F.get(terms, go - 1) - F.get(terms, go)).otherwise(F.lit(0).cast("long"))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == x, 1).otherwise(0) - F.when(k == y, 1).otherwise(0))
-        return total, counts
+        counts = F.when(x == y, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: F.when(k == x, c + 1).when(k == y, c - 1).otherwise(c)))
+        end = start + s["i"] + 1
 
-    def step(acc, i):
-        total, counts = counted(acc, i)
-        end = start + i + 1
-        last = F.element_at(acc["found"], -1)
-        grown = F.when(F.size(acc["found"]) > 0, last["end"] >= end - WINDOW).otherwise(F.lit(False))
-        begin = F.when(grown, last["start"]).otherwise(end - WINDOW)
-        others = F.when(grown, F.slice(acc["found"], F.lit(1), F.size(acc["found"]) - 1)).otherwise(acc["found"])
-        added = F.array_append(others, F.struct(begin.alias("start"), acc["kind"].alias("kind"), end.alias("end")))
-        found = F.when((i >= WINDOW - 1) & (total <= acc["most"]), added).otherwise(acc["found"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), found.alias("found"), acc["codes"].alias("codes"), acc["most"].alias("most"), acc["kind"].alias("kind"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), zero, step, lambda acc: acc["found"])
+        def with_total(t):
+            fits = (s["i"] >= WINDOW - 1) & (t <= most)
+            grows = fits & (acc["from"] >= 0) & (acc["to"] >= end - WINDOW)
+            return F.struct(
+                counts.alias("counts"), t.alias("sum"), F.when(fits & ~grows, end - WINDOW).otherwise(acc["from"]).alias("from"), F.when(fits, end).otherwise(acc["to"]).alias("to"),
+                F.when(fits & ~grows, closed(acc)).otherwise(acc["found"]).alias("found"),
+            )
+
+        return let(total, with_total)
+
+    return F.aggregate(steps, zero, step, closed)
 
 
 def _left(span: Column, base: Column) -> Column:
