@@ -74,3 +74,31 @@ def test_allocation_with_fine_scales_and_weights(spark):
     t = table(spark, [("a", "0.000000000001"), ("b", "0.000000000002")], ["k", "w"])
     r = run(t, {"op": "allocate", "weight": "w", "total": LIT("1"), "column": "s", "scale": 12})
     assert [x for _, _, x in rows(r)] == ["0.333333333333", "0.666666666667"]
+
+
+def test_sums_of_any_length(spark):
+    import random
+    from decimal import Context, Decimal
+
+    from tieout.functions import sums
+
+    exact, rng = Context(prec=600), random.Random(3)
+    rows = []
+    for g in range(6):
+        for _ in range(40):
+            size = rng.choice([1, 5, 18, 19, 60, 101])
+            text = rng.choice(["", "-", "+"]) + str(rng.randrange(10**size))
+            if g % 2:
+                text += "." + "".join(rng.choices("0123456789", k=rng.choice([1, 11, 12, 13, 60, 120])))
+            rows.append((str(g), text))
+    rows += [("none", None), ("none", "x"), ("null", "5"), (None, "9" * 101), (None, "1"), ("hi", "-999999999999999999.5"), ("hi", "-0.5"), ("far", "9" * 101), ("far", "0." + "1" * 200)]
+    df = spark.createDataFrame(rows, "g string, x string")
+    got = {r.g: (r.total, r.n) for r in sums.grouped_sums(df, {"g": F.col("g")}, {"total": F.col("x")}, {"n": F.count(F.lit(1))}).collect()}
+    for g in {r[0] for r in rows} - {"far"}:
+        total, digits = Decimal(0), 0
+        for x in [x for k, x in rows if k == g and x and x != "x"]:
+            total, digits = exact.add(total, Decimal(x)), max(digits, len(x.partition(".")[2]))
+        assert got[g] == (format(total.quantize(Decimal(1).scaleb(-digits), context=exact), "f") if got[g][0] != "0" else "0", sum(k == g for k, _ in rows)), g
+    assert got["far"] == (None, 2) and got["none"] == ("0", 2) and len(got["0"][0]) > 95
+    one = sums.grouped_sums(df.where("g = '1'"), {}, {"a": F.col("x"), "b": F.concat("x", F.lit("0"))}, {}).first()
+    assert (one.a, one.b) == (got["1"][0], got["1"][0] + "0") and sums.grouped_sums(df.limit(0), {}, {"a": F.col("x")}, {}).first().a == "0"

@@ -3,7 +3,7 @@
 A number is a sign, digits and a point, without an exponent. Numbers of up to 18 digits before and 12 after
 the point are worked with as DECIMAL(38,12), beside how many digits stand after the point, so that results
 are written with as many digits as exact arithmetic gives. What doesn't fit is never rounded: expressions
-hand such rows to `exact`, sums hold them in parts of 18 digits, and comparisons go by a text that sorts as
+hand such rows to `exact`, `sums` adds them in limbs of 18 digits, and comparisons go by a text that sorts as
 the numbers do.
 """
 
@@ -22,8 +22,6 @@ CANONICAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
 LONGEST, LARGEST = 256, 101
 #: Numbers that the native tier holds.
 HELD = rf"^[+-]?0*(?:[0-9]{{1,18}}(?:\.[0-9]{{0,{SCALE}}})?|\.[0-9]{{1,{SCALE}}})$"
-#: Numbers that sums hold in parts: PART digits each, so many parts before and after the point.
-PART, BEFORE, AFTER = 18, 3, 2
 
 #: Why a cell is no usable number.
 MISSING, NOT_DECIMAL, TOO_LONG = "missing_value", "not_a_decimal", "number_too_long"
@@ -86,62 +84,9 @@ def tenth(places: int) -> Column:
     return F.lit(format(Decimal(1).scaleb(-places), "f")).cast(f"decimal({max(places, 1)},{places})")
 
 
-def sum_parts(c: Column, name: str) -> list[Column]:
-    """Aggregates from which summed(name) writes the exact sum of the numbers in c; cells that are no numbers are left out."""
-    wide = ~is_held(c) & is_canonical(c)
-    whole, rest = _before_point(c), _after_point(c)
-    fits = (F.length(whole) <= PART * BEFORE) & (F.length(F.rtrim(F.translate(rest, "0", " "))) <= PART * AFTER)
-    padded = F.concat(F.lpad(whole, PART * BEFORE, "0"), F.rpad(rest, PART * AFTER, "0"))
-    part = lambda k: F.substring(padded, PART * k + 1, PART).cast(f"decimal({PART},0)")
-    signed = lambda k: F.when(wide & fits, F.when(c.startswith("-"), -part(k)).otherwise(part(k)))
-    return [
-        F.try_sum(number(c)).cast(WIDE).alias(f"{name}_sum"), F.count_if(is_held(c)).alias(f"{name}_held"), F.count_if(wide).alias(f"{name}_wide"), F.count_if(wide & ~fits).alias(f"{name}_lost"),
-        F.max(F.when(is_canonical(c), digits_after_point(c))).alias(f"{name}_digits"), *[F.sum(signed(k)).alias(f"{name}_p{k}") for k in range(BEFORE + AFTER)],
-    ]
-
-
-def sum_columns(name: str) -> list[str]:
-    return [f"{name}_{x}" for x in ("sum", "held", "wide", "lost", "digits", *(f"p{k}" for k in range(BEFORE + AFTER)))]
-
-
-def _joined(sums: pa.Array) -> pa.Array:
-    """Texts 'digits|sum|part|part...' -> the exact sum."""
-    out = []
-    for s in sums.to_pylist():
-        if s is None:
-            out.append(None)
-            continue
-        digits, native, *parts = s.split("|")
-        total = Decimal(native or 0)
-        for k, p in enumerate(parts):
-            total = EXACT.add(total, Decimal(p or 0).scaleb(PART * (BEFORE - 1 - k), EXACT))
-        out.append(format(total.quantize(Decimal(1).scaleb(-int(digits)), context=EXACT), "f"))
-    return pa.array(out, pa.string())
-
-
 EXACT = Context(prec=2 * LONGEST)
 
 
-def summed(name: str) -> Column:
-    """The sum of sum_parts(c, name) as text: '0' of no numbers, null if it could not be held. Sums without long numbers stay native."""
-    native, wide = F.col(f"{name}_sum"), F.col(f"{name}_wide") > 0
-    whole = (F.col(f"{name}_lost") == 0) & ((F.col(f"{name}_held") == 0) | native.isNotNull())
-    text = lambda c: F.coalesce(F.col(f"{name}_{c}").cast("string"), F.lit(""))
-    packed = F.concat_ws("|", text("digits"), text("sum"), *[text(f"p{k}") for k in range(BEFORE + AFTER)])
-    joined = F.arrow_udf(_joined, "string")(F.when(wide & whole, packed))
-    return F.when(wide, joined).when(F.col(f"{name}_held") == 0, "0").otherwise(written(native, F.col(f"{name}_digits")))
-
-
-def total_of(row, name: str) -> Decimal | None:
-    """The sum of sum_parts(c, name) out of a collected row of them; null if it could not be held."""
-    if row[f"{name}_lost"] or (row[f"{name}_held"] and row[f"{name}_sum"] is None):
-        return None
-    total = Decimal(row[f"{name}_sum"] or 0)
-    for k in range(BEFORE + AFTER):
-        total = EXACT.add(total, Decimal(row[f"{name}_p{k}"] or 0).scaleb(PART * (BEFORE - 1 - k), EXACT))
-    return total.quantize(Decimal(1).scaleb(-(row[f"{name}_digits"] or 0)), context=EXACT)
-
-
 def _apart(pairs: pa.Array) -> pa.Array:
     out = []
     for s in pairs.to_pylist():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decimals
 from ..functions.expressions import WHITE
+from ..functions.sums import grouped_sums
 from ..model import POS, ROW, Table
 
 #: Source rows shown with a finding.
@@ -57,9 +58,8 @@ def _sums(table: Table, check: dict, kind: str) -> DataFrame:
     keys = known(table, [check.get("column")] if kind == "total" else [check.get("debit"), check.get("credit")])
     tolerance = F.lit(decimals.canonical_text(check.get("tolerance", "0"), negative=False))
     other = F.lit(decimals.canonical_text(check.get("expected"))) if kind == "total" else F.col("_v1")
-    bad = F.count_if(reduce(Column.__or__, [decimals.error(cell(k)).isNotNull() for k in keys])).alias("_bad")
-    sums = table.df.agg(bad, *[a for i, k in enumerate(keys) for a in decimals.sum_parts(cell(k), f"_s{i}")])
-    sums = sums.select("_bad", *[decimals.summed(f"_s{i}").alias(f"_v{i}") for i in range(len(keys))])
+    bad = F.count_if(reduce(Column.__or__, [decimals.error(cell(k)).isNotNull() for k in keys]))
+    sums = grouped_sums(table.df, {}, {f"_v{i}": cell(k) for i, k in enumerate(keys)}, {"_bad": bad})
     sums = sums.withColumn("_apart", decimals.difference(F.col("_v0"), other))
     code = F.when((F.col("_bad") > 0) | F.col("_apart").isNull(), "invalid_check_value").when(~decimals.within(F.col("_apart"), tolerance), "total_mismatch" if kind == "total" else "unbalanced_values")
     return issues(sums.where(code.isNotNull()), code, F.coalesce("_apart", F.lit("")), table.table_id, row=None)

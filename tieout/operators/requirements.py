@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decimals
 from ..functions.grammar import SCALES
+from ..functions.sums import grouped_sums
 from ..model import Table
 from .checks import cell, later_rows, stripped
 
@@ -77,13 +78,20 @@ def context_fails(table: Table, context: dict[str, tuple[str, str]]) -> Column:
     return F.coalesce(F.bool_or(reduce(Column.__or__, tests)), F.lit(False)) if tests else F.bool_or(F.lit(False))
 
 
+def _totals(df: DataFrame, cells: dict[str, Column], others: dict[str, Column]) -> dict:
+    """The one row of sums, as Decimals, and of others; counts of no rows are 0."""
+    r = grouped_sums(df, {}, cells, others).first().asDict()
+    return {k: Decimal(v) if k in cells and v is not None else 0 if v is None and k in ("n", "missing", "wrong") else v for k, v in r.items()}
+
+
 def total(table: Table, column: str, expected: str, tolerance: str = "0", context: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """The sum of a column against what it must be. Of the sums one row comes to the driver."""
     tolerance, expected = decimals.canonical_text(tolerance, negative=False), decimals.canonical_text(expected)
     df = _read(table, _x=column)
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if("_x_missing").alias("missing"), F.count_if("_x_wrong").alias("wrong"), context_fails(table, context or {}).alias("other"), *decimals.sum_parts(F.col("_x"), "s")).first()
+    others = {"n": F.count(F.lit(1)), "missing": F.count_if("_x_missing"), "wrong": F.count_if("_x_wrong"), "other": context_fails(table, context or {})}
+    r = _totals(df, {"s": F.col("_x")}, others)
     status = _first((not r["n"], "MISSING_EVIDENCE"), (r["other"], "NEEDS_REVIEW"), (r["missing"] > 0, "MISSING_EVIDENCE"), (r["wrong"] > 0, "ERROR"))
-    return _judged(table, status, Decimal(expected), decimals.total_of(r, "s"), tolerance)
+    return _judged(table, status, Decimal(expected), r["s"], tolerance)
 
 
 def bank_balance(table: Table, opening: str, closing: str, credit: str, debit: str, debit_sign: str, tolerance: str = "0", context: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -101,9 +109,9 @@ def bank_balance(table: Table, opening: str, closing: str, credit: str, debit: s
     cause = F.when(F.col("_c_missing") & F.col("_d_missing"), "MISSING_EVIDENCE").when(F.col("_c_wrong") | F.col("_d_wrong"), "ERROR").when(against | ((F.col("_cs") != 0) & (F.col("_ds") != 0)), "NEEDS_REVIEW")
     df = df.withColumn("_cause", cause)
     place = F.when(F.col("_cause").isNotNull(), F.struct("_pos", "_row_id"))
-    r = df.agg(F.count(F.lit(1)).alias("n"), context_fails(table, context or {}).alias("other"), F.min_by("_cause", place).alias("cause"), *decimals.sum_parts(F.col("_c"), "c"), *decimals.sum_parts(F.col("_d"), "d")).first()
+    r = _totals(df, {"c": F.col("_c"), "d": F.col("_d")}, {"n": F.count(F.lit(1)), "other": context_fails(table, context or {}), "cause": F.min_by("_cause", place)})
     status = _first((not r["n"], "MISSING_EVIDENCE"), (r["other"], "NEEDS_REVIEW"), (r["cause"] is not None, r["cause"]))
-    credits, debits = decimals.total_of(r, "c"), decimals.total_of(r, "d")
+    credits, debits = r["c"], r["d"]
     actual = None
     if credits is not None and debits is not None:
         move = decimals.EXACT.add(credits, debits) if debit_sign == "negative" else decimals.EXACT.subtract(credits, debits)
@@ -121,11 +129,12 @@ def fee(table: Table, base: str, actual: str, rate: str, scale: int = 2, toleran
     tolerance, rate = decimals.canonical_text(tolerance, negative=False), decimals.canonical_text(rate, negative=False)
     approved = bool(rule) and all(str(rule.get(k) or "").strip() for k in ("rule_id", "rule_version", "rule_approved_by")) and rule["rule_approved_by"] in (managers or ())
     df = _read(table, _b=base, _a=actual)
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_b_missing") | F.col("_a_missing")).alias("missing"), F.count_if(F.col("_b_wrong") | F.col("_a_wrong")).alias("wrong"), context_fails(table, context or {}).alias("other"), *decimals.sum_parts(F.col("_b"), "b"), *decimals.sum_parts(F.col("_a"), "a")).first()
+    others = {"n": F.count(F.lit(1)), "missing": F.count_if(F.col("_b_missing") | F.col("_a_missing")), "wrong": F.count_if(F.col("_b_wrong") | F.col("_a_wrong")), "other": context_fails(table, context or {})}
+    r = _totals(df, {"b": F.col("_b"), "a": F.col("_a")}, others)
     status = _first((not r["n"], "MISSING_EVIDENCE"), (r["other"] or not approved, "NEEDS_REVIEW"), (r["missing"] > 0, "MISSING_EVIDENCE"), (r["wrong"] > 0, "ERROR"))
-    total_base = decimals.total_of(r, "b")
+    total_base = r["b"]
     due = None if total_base is None else decimals.EXACT.multiply(total_base, Decimal(rate)).quantize(Decimal(1).scaleb(-scale), rounding=ROUND_HALF_EVEN, context=decimals.EXACT)
-    return _judged(table, status, due, decimals.total_of(r, "a"), tolerance)
+    return _judged(table, status, due, r["a"], tolerance)
 
 
 def freshness(as_of: Column, now: Column, days: int) -> Column:

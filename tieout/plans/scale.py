@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..checkpoints import shared_path
 from ..operators.strong import strong_components
 from ..sources import drafts
-from .catalogue import frame, query
+from ..model import table_of
+from .catalogue import frame, one, query
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus || chr(10) || 'says "' || o_orderpriority || '", twice' || chr(13) || chr(10) || CAST(o_custkey AS VARCHAR) AS note,
@@ -34,3 +35,29 @@ def strong_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = c.agg((F.max("k") + 1).alias("n"))
     edges = c.crossJoin(F.broadcast(n)).select(F.col("k").alias("source"), ((F.col("k") * F.col("k") + 7) % F.col("n")).alias("target"))
     return strong_components(edges)
+
+
+@query("""SELECT o_orderstatus, CAST(sum(o_orderkey) AS VARCHAR) || lpad(CAST(sum(o_custkey) AS VARCHAR), 59, '0') AS whole,
+CAST(sum(o_orderkey) AS VARCHAR) || lpad(CAST(sum(o_custkey) AS VARCHAR), 59, '0') || '.' || lpad(CAST(sum(o_custkey) AS VARCHAR), 140, '0') AS long FROM orders GROUP BY 1""")
+def long_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of numbers of sixty and of two hundred digits."""
+    whole = F.concat(F.col("o_orderkey").cast("string"), F.lpad(F.col("o_custkey").cast("string"), 59, "0"))
+    long = F.concat(whole, F.lit("."), F.lpad(F.col("o_custkey").cast("string"), 140, "0"))
+    t = table_of(frame(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", whole.alias("whole"), long.alias("long")), "orders", ["o_orderstatus", "whole", "long"], F.col("o_orderkey"))
+    return one(t, {"op": "aggregate", "by": ["o_orderstatus"], "metrics": {"whole": {"op": "sum", "column": "whole"}, "long": {"op": "sum", "column": "long"}}}).rows()
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'most' ELSE CAST(l_suppkey % 20 AS VARCHAR) END AS g, CAST(l_partkey AS HUGEINT) AS p FROM lineitem),
+s AS (SELECT *, 100000007 * p AS up, CAST(sum(p) OVER (PARTITION BY g) AS HUGEINT) AS total FROM w),
+r AS (SELECT *, up // total AS share, row_number() OVER (PARTITION BY g ORDER BY up % total DESC, 'lines:' || CAST(CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS VARCHAR)) AS rank FROM s),
+t AS (SELECT *, share + CASE WHEN rank <= 100000007 - sum(share) OVER (PARTITION BY g) THEN 1 ELSE 0 END AS got FROM r)
+SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(CAST(got AS DECIMAL(18,0)) / 100 AS DECIMAL(18,2))::VARCHAR AS share,
+CAST(got AS VARCHAR) AS long_share FROM t""")
+def allocate_large_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group holds a third of all lines; the second split has weights of thirty digits and more."""
+    g = F.when(F.col("l_orderkey") % 3 == 0, "most").otherwise((F.col("l_suppkey") % 20).cast("string"))
+    far = F.concat(F.col("l_partkey").cast("string"), F.lit("0" * 30))
+    lines = frame(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", g.alias("g"), F.col("l_partkey").alias("p"), far.alias("far"))
+    t = table_of(lines, "lines", ["l_orderkey", "l_linenumber", "g", "p", "far"], F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber"))
+    split = lambda w, total, to, scale: {"op": "allocate", "by": ["g"], "weight": w, "total": {"literal": total}, "column": to, "scale": scale}
+    return one(t, split("p", "1000000.07", "share", 2), split("far", "100000007", "long_share", 0), {"op": "select", "columns": ["l_orderkey", "l_linenumber", "share", "long_share"]}).rows()
