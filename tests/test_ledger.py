@@ -78,3 +78,31 @@ def test_tolerance_must_be_a_number(spark):
     for wrong in ("-1", "0); drop", "1e2", ""):
         with pytest.raises(ValueError):
             reconcile.matched(rows, wrong, composite_confirmed=True)
+
+
+def test_composite_matching_against_all_pairs(spark):
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(7)
+    made = lambda n: [("", rng.choice("12"), "USD", rng.choice(["2025-01-01", "2025-01-02"]), f"{rng.randrange(-300, 300) / 100:.2f}") for _ in range(n)]
+    bank, book = made(120), made(110)
+    for tolerance in ("0", "0.01", "0.05"):
+        near = lambda a, b: a[1:4] == b[1:4] and abs(Decimal(a[4]) - Decimal(b[4])) <= Decimal(tolerance)  # noqa: B023, E731
+        left = [[j for j, b in enumerate(book) if near(a, b)] for a in bank]
+        right = [[i for i, a in enumerate(bank) if near(a, b)] for b in book]
+        pairs = sorted((a[1], a[3], Decimal(a[4]), Decimal(book[c[0]][4])) for a, c in zip(bank, left) if len(c) == 1 and len(right[c[0]]) == 1)
+        items = reconcile.matched(sides(spark, bank, book), tolerance, composite_confirmed=True)
+        got = items.collect()
+        assert sorted((r.account, r.key, r.statement, r.journal) for r in got if r.status == "matched") == pairs
+        assert sum(r.n_statement for r in got) == len(bank) and sum(r.n_journal for r in got) == len(book)
+        assert sum(r.status == "missing" for r in got) == sum(not c for c in left) + sum(not c for c in right)
+
+
+def test_composite_matching_of_one_key(spark):
+    """Two hundred thousand records share an account, a currency and a date: amounts alone tell them apart, and half of them are the same."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("'1' account", "'USD' currency", "'2025-01-01' date", "'' reference", "'' batch", "cast(case when id % 2 = 0 then 5 else id * 10 end as decimal(38,12)) amount", "cast(null as string) issue", "id")
+    both = [rows.selectExpr("*", f"'{s}' side").withColumn("id", F.concat("side", F.col("id").cast("string"))) for s in ("statement", "journal")]
+    got = reconcile.matched(both[0].unionByName(both[1]), "1", mode="composite", composite_confirmed=True).groupBy("status", "n_statement", "n_journal").count().collect()
+    assert sorted(map(tuple, got)) == [("matched", 1, 1, n // 2), ("needs_input", n // 2, n // 2, 1)]

@@ -19,12 +19,34 @@ def set_cells(table: Table, corrections: DataFrame) -> Table:
     return table.with_df(df.select(ROW, POS, *[F.when(F.col(f"_new_{i}").isNotNull(), F.col(f"_new_{i}.value")).otherwise(F.col(f"`{k}`")).alias(k) for i, k in enumerate(table.keys)]))
 
 
-def provenance(table: Table, corrections: DataFrame) -> DataFrame:
-    """(row_id, column_key, original, effective, corrected_by, reason): the corrected cells of the table before set_cells, with the last correction of each."""
-    last = corrections.groupBy("row_id", "column_key").agg(F.max_by(F.struct("value", "actor_id", "reason"), "seq").alias("c"))
-    cells = F.array(*[F.struct(F.lit(k).alias("column_key"), F.col(f"`{k}`").alias("original")) for k in table.keys])
-    long = table.df.select(F.col(ROW).alias("row_id"), F.inline(cells))
-    return long.join(last, ["row_id", "column_key"]).select("row_id", "column_key", "original", F.col("c.value").alias("effective"), F.col("c.actor_id").alias("corrected_by"), F.col("c.reason").alias("reason"))
+def provenance(table: Table, corrections: DataFrame, made: DataFrame | None = None, effective: Table | None = None) -> DataFrame:
+    """(row_id, column_key, original, effective, corrected_by, reason [, original_available]): the corrected cells of a table, with the last correction of each that still counts.
+
+    corrections(row_id, column_key, value, seq, actor_id, reason). made(row_id, seq) are rows that a split or
+    a merge made, each with the number of that edit in the same order: every cell was replaced by it, so
+    corrections from before are history and explain nothing, even where a value is the same, and such a
+    row has no original of its own. effective is the table after all edits: a correction holds only while its
+    value is the cell's. Without effective the last correction's value is.
+    """
+    counted = corrections
+    if made is not None:
+        since = made.groupBy("row_id").agg(F.max("seq").alias("_since"))
+        counted = corrections.join(since, "row_id", "left").where("_since is null or seq > _since").drop("_since")
+    last = counted.groupBy("row_id", "column_key").agg(F.max_by(F.struct("value", "actor_id", "reason"), "seq").alias("c"))
+    long = lambda t, name: t.df.select(F.col(ROW).alias("row_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("column_key"), F.col(f"`{k}`").alias(name)) for k in t.keys])))
+    if made is None and effective is None:
+        return long(table, "original").join(last, ["row_id", "column_key"]).select("row_id", "column_key", "original", F.col("c.value").alias("effective"), F.col("c.actor_id").alias("corrected_by"), F.col("c.reason").alias("reason"))
+    now = long(effective or table, "effective")
+    cells = now.join(long(table, "original").withColumn("_there", F.lit(True)), ["row_id", "column_key"], "left").join(last, ["row_id", "column_key"], "left")
+    if made is not None:
+        cells = cells.join(since.withColumn("_new", F.lit(True)).drop("_since"), "row_id", "left")
+    else:
+        cells = cells.withColumn("_new", F.lit(None).cast("boolean"))
+    available = F.coalesce("_there", F.lit(False)) & F.col("_new").isNull()
+    holds = F.col("c").isNotNull() & F.col("c.value").eqNullSafe(F.col("effective")) & F.col("c.actor_id").isNotNull()
+    return cells.select(
+        "row_id", "column_key", F.when(available, F.col("original")).alias("original"), "effective", F.when(holds, F.col("c.actor_id")).alias("corrected_by"), F.when(holds, F.col("c.reason")).alias("reason"), available.alias("original_available"),
+    )
 
 
 def rename_column(table: Table, key: str, label: str) -> Table:
@@ -122,8 +144,10 @@ def narrative_parents(table: Table, is_record: Column) -> DataFrame:
     parts = checkpointed(table.df.select(ROW, POS, F.when(is_record, F.col(ROW)).alias("_own")).repartitionByRange(F.col(POS)).withColumn("_part", F.spark_partition_id()))
     tails = parts.where("_own is not null").groupBy("_part").agg(F.max_by("_own", POS).alias("_tail")).withColumnRenamed("_part", "_before")
     inside = F.last("_own", ignorenulls=True).over(Window.partitionBy("_part").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0))
-    spans = tails.withColumn("_until", F.lead("_before", 1, 1 << 30).over(Window.orderBy("_before")))
-    return parts.withColumn("_here", inside).join(F.broadcast(spans), (F.col("_part") > F.col("_before")) & (F.col("_part") <= F.col("_until")), "left").select(ROW, F.coalesce("_here", "_tail").alias("parent"))
+    # a row for each part: the last record of the parts before it
+    heads = parts.select("_part").distinct().join(tails, F.col("_part") == F.col("_before"), "left")
+    carry = heads.select("_part", F.last("_tail", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    return parts.withColumn("_here", inside).join(F.broadcast(carry), "_part").select(ROW, F.coalesce("_here", "_carry").alias("parent"))
 
 
 def without_blank(table: Table) -> Table:

@@ -87,12 +87,25 @@ def review_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "left_table string, left_column string, right_table string, shared long, left_values long")
 
 
-@query("""SELECT * FROM (VALUES ('ledger', 'ready', 0), ('unclear', 'needs_input', 1)) AS v(dataset_id, status, n_issues)""")
+@query("""WITH o AS (SELECT count(*) AS n, min(o_orderkey) AS k, count(*) FILTER (WHERE o_orderkey % 9 = 0) AS f, count(*) FILTER (WHERE o_orderkey % 18 = 0) AS v FROM orders),
+h AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders)
+SELECT 'ledger' AS dataset_id, 'ready' AS status, CAST(NULL AS VARCHAR) AS header, '' AS issues, n AS n_rows, n AS n_data, f AS n_formulas, f - v AS n_unverified FROM o
+UNION ALL SELECT 'unclear', 'needs_input', NULL, 'no_header,coverage_incomplete', n, n, 0, 0 FROM o
+UNION ALL SELECT 'headed', 'suggested', 'headed:' || h.k, '', n, n - 4, 0, 0 FROM o, h WHERE i = 4
+UNION ALL SELECT 'chosen', 'ready', 'chosen:' || h.k, '', n, n - 2, 0, 0 FROM o, h WHERE i = 2
+UNION ALL SELECT 'twice', 'needs_input', NULL, 'several_headers', n, n, 0, 0 FROM o""")
 def table_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table whose labels name concepts is read as it is; one without any needs a header."""
-    o = frame(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("amount"))
-    r = [review.profile(review.Source(t)) for t in (table_of(o, "ledger", ["account_id", "amount"], F.col("o_orderkey")), table_of(o.select("o_orderkey", F.lit("x").alias("one")), "unclear", ["one"], F.col("o_orderkey")))]
-    return spark.createDataFrame([(n, p.status, len(p.issues)) for n, p in zip(("ledger", "unclear"), r)], "dataset_id string, status string, n_issues int")
+    """Labels that name concepts, a row that does, two rows that do, a row that a person chose, and nothing that does."""
+    base = frame(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("a"), F.col("o_totalprice").cast("string").alias("b"))
+    first = [r.o_orderkey for r in base.orderBy("o_orderkey").limit(5).collect()]
+    names = lambda keys: base.select("o_orderkey", F.when(F.col("o_orderkey").isin(*keys), "Account id").otherwise(F.col("a")).alias("a"), F.when(F.col("o_orderkey").isin(*keys), "Amount").otherwise(F.col("b")).alias("b"))
+    made = lambda df, name, keys=("a", "b"): table_of(df, name, list(keys), F.col("o_orderkey"))
+    ledger = made(base.withColumnsRenamed({"a": "account_id", "b": "amount"}), "ledger", ("account_id", "amount"))
+    cells = ledger.df.where(F.col("_pos") % 9 == 0).select(F.col(ROW).alias("row_id"), F.lit("amount").alias("column_key"), F.lit("A1").alias("formula"), (F.col("_pos") % 18 == 0).alias("verified"), F.lit(False).alias("error"))
+    sources = [review.Source(ledger, cells=cells), review.Source(made(base, "unclear"), complete=False), review.Source(made(names(first[3:4]), "headed")), review.Source(made(names(first[3:4]), "chosen")), review.Source(made(names(first[1:3]), "twice"))]
+    got = [(s.table.table_id, review.profile(s, {"chosen": f"chosen:{first[1]}"})) for s in sources]
+    rows = [(n, p.status, p.header, ",".join(p.issues), p.n_rows, p.n_data, p.n_formulas, p.n_unverified) for n, p in got]
+    return spark.createDataFrame(rows, "dataset_id string, status string, header string, issues string, n_rows long, n_data long, n_formulas long, n_unverified long")
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[reconcile.Ledger, reconcile.Ledger]:
@@ -147,16 +160,36 @@ def recon_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(missing.alias("issue")).agg(F.sum("amount").cast("decimal(24,2)").cast("string").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('bank', 'transactions', 'ready'), ('codes', 'supporting', 'ready'), ('journal', 'transactions', 'needs_input'), ('notes', 'unclassified', 'needs_input')) AS v(dataset_id, kind, status)""")
+@query("""WITH f AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT count(DISTINCT c_mktsegment) AS n, min(c_mktsegment) AS v FROM customer WHERE c_custkey <= 3)
+SELECT 'bank' AS dataset_id, 'transactions' AS kind, CAST(NULL AS VARCHAR) AS header, 5 AS n_columns, CAST(NULL AS VARCHAR) AS account, 'several_tables' AS issues FROM f
+UNION ALL SELECT 'more', 'transactions', NULL, 5, NULL, 'several_tables' FROM f UNION ALL SELECT 'journal', 'transactions', NULL, 5, NULL, 'cash_leg_unconfirmed' FROM f
+UNION ALL SELECT 'codes', CASE WHEN min(n_nationkey) = 0 THEN 'supporting' ELSE 'unclassified' END, NULL, 0, NULL, '' FROM nation
+UNION ALL SELECT 'notes', 'unclassified', NULL, 0, NULL, 'no_transactions_chosen,amount_not_chosen,account_not_known,currency_not_known' FROM nation HAVING count(*) > 0
+UNION ALL SELECT 'page', 'transactions', 'page:' || k, 3, CASE WHEN n = 1 THEN v END, CASE WHEN n = 1 THEN 'currency_not_known' ELSE 'account_not_known,currency_not_known' END FROM f, c
+UNION ALL SELECT 'facts', 'supporting', NULL, 0, CASE WHEN n = 1 THEN v END, '' FROM c UNION ALL SELECT 'other', 'transactions', 'other:' || k, 3, NULL, 'account_not_known,currency_not_known' FROM f""")
 def recon_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each table seems to be: transactions, a list, or nothing that can be told."""
-    o = frame(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("transaction id"), F.col("o_orderdate").alias("value date"), F.col("o_totalprice").alias("amount"), F.lit("A1").alias("account"), F.lit("EUR").alias("currency"))
+    """What each table seems to be. The account of a page of transactions is on another page of its document, if that names one."""
+    all_orders = frame(spark, sf_dir, "orders")
+    o = all_orders.select("o_orderkey", F.col("o_orderkey").alias("transaction id"), F.col("o_orderdate").alias("value date"), F.col("o_totalprice").alias("amount"), F.lit("A1").alias("account"), F.lit("EUR").alias("currency"))
     keys = ["transaction id", "value date", "amount", "account", "currency"]
+    bank = lambda name: table_of(o, name, keys, F.col("o_orderkey"))
     names = frame(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("p"), F.when(F.col("n_nationkey") == 0, "Legal Entity").otherwise(F.col("n_name")).alias("c1"))
     notes = names.select("p", F.concat(F.lit("note "), "c1").alias("c1"))
-    made = [(table_of(o, "bank", keys, F.col("o_orderkey")), "statement"), (table_of(o, "journal", keys, F.col("o_orderkey")), "journal"), (table_of(names, "codes", ["c1"], F.col("p")), "statement"), (table_of(notes.where("p > 0"), "notes", ["c1"], F.col("p")), "statement")]
-    got = proposals.propose([(review.Source(t, source_id=t.table_id), s) for t, s in made])
-    return spark.createDataFrame([(p["dataset_id"], p["kind"], p["status"]) for p in got], "dataset_id string, kind string, status string")
+    # pages: the first row of one names its columns, the other has an account for each of three customers
+    even = all_orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderkey").cast("string").alias("a"), F.col("o_orderdate").cast("string").alias("b"), F.col("o_totalprice").cast("string").alias("c"))
+    least = F.broadcast(even.agg(F.min("o_orderkey").alias("least")))
+    head = F.col("o_orderkey") == F.col("least")
+    lines = even.join(least, head | F.lit(True)).select("o_orderkey", *[F.when(head, F.lit(n)).otherwise(F.col(k)).alias(k) for k, n in (("a", "Reference"), ("b", "Booking date"), ("c", "Amount"))])
+    facts = frame(spark, sf_dir, "customer").where("c_custkey <= 3").select("c_custkey", F.lit("Account number").alias("k"), F.col("c_mktsegment").alias("v"))
+    page = lambda name: table_of(lines, name, ["a", "b", "c"], F.col("o_orderkey"))
+    made = [
+        (review.Source(bank("bank"), source_id="s1"), "statement"), (review.Source(bank("more"), source_id="s1"), "statement"), (review.Source(bank("journal"), source_id="s2"), "journal"),
+        (review.Source(table_of(names, "codes", ["c1"], F.col("p")), source_id="s3"), "statement"), (review.Source(table_of(notes.where("p > 0"), "notes", ["c1"], F.col("p")), source_id="s4"), "statement"),
+        (review.Source(page("page"), source_id="s5", media_type=proposals.PDF), "statement"), (review.Source(table_of(facts, "facts", ["k", "v"], F.col("c_custkey")), source_id="s5", media_type=proposals.PDF), "statement"),
+        (review.Source(page("other"), source_id="s6", media_type=proposals.PDF), "statement"),
+    ]
+    got = proposals.propose(made)
+    return got.select("dataset_id", "kind", F.col("header_row_id").alias("header"), F.size("columns").alias("n_columns"), F.try_element_at("context", F.lit("account")).alias("account"), F.array_join("issues", ",").alias("issues"))
 
 
 def _statement(spark: SparkSession, sf_dir: str, flag: str, name: str):
@@ -278,10 +311,15 @@ def pack_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("value_decimal").alias("value"), (F.col("status") == "UNRESOLVED").alias("open"))
 
 
-@query("""SELECT v.p AS text, v.ok AS valid, count(*) AS n FROM region, (VALUES ('2024', true), ('2024-Q4', true), ('2024-Q5', false), ('2024-12', true), ('2024-13', false), ('2024-02-29', true), ('2023-02-29', false), ('0024', false)) AS v(p, ok) GROUP BY ALL""")
+@query("""WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y') AS y FROM orders), t AS (SELECT k, CASE k % 4 WHEN 0 THEN y WHEN 1 THEN y || '-Q' || (k % 7) WHEN 2 THEN y || '-' || lpad(CAST(k % 15 AS VARCHAR), 2, '0')
+  ELSE y || '-' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(k % 33 AS VARCHAR), 2, '0') END AS text FROM o)
+SELECT text, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN k % 7 BETWEEN 1 AND 4 WHEN 2 THEN k % 15 BETWEEN 1 AND 12 ELSE try_cast(text AS DATE) IS NOT NULL END AS valid, count(*) AS n FROM t GROUP BY ALL""")
 def period_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.array(*[F.lit(p) for p in ("2024", "2024-Q4", "2024-Q5", "2024-12", "2024-13", "2024-02-29", "2023-02-29", "0024")])
-    rows = frame(spark, sf_dir, "region").select(F.explode(texts).alias("text"))
+    """Years, quarters, months and days made of each order's date and key, many of which are none."""
+    k, y = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    text = F.when(k % 4 == 0, y).when(k % 4 == 1, F.concat(y, F.lit("-Q"), (k % 7).cast("string"))).when(k % 4 == 2, F.concat(y, F.lit("-"), two(k % 15))).otherwise(F.concat(y, F.lit("-"), two(k % 12 + 1), F.lit("-"), two(k % 33)))
+    rows = frame(spark, sf_dir, "orders").select(text.alias("text"))
     return rows.groupBy("text", cleaning.valid_period(F.col("text")).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -201,11 +201,17 @@ def check_required_and_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'fits' AS id, 'total' AS type, 'lineitem' AS table_id, true AS passed UNION ALL SELECT 'short', 'total', 'lineitem', false UNION ALL SELECT 'sides', 'balance', 'lineitem', false""")
+@query(f"""WITH s AS (SELECT sum({M("l_quantity")}) AS q, sum({M("l_extendedprice")}) AS p, sum(CASE WHEN l_linenumber = 1 THEN {M("l_quantity")} ELSE 0 END) AS f, sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE {M("l_quantity")} END) AS r FROM lineitem)
+SELECT 'near' AS id, 'total' AS type, 'lineitem' AS table_id, abs(q - 1530000) <= 20000 AS passed FROM s UNION ALL SELECT 'exactly', 'total', 'lineitem', q = 1530000 FROM s
+UNION ALL SELECT 'sides', 'balance', 'lineitem', q = p FROM s UNION ALL SELECT 'firsts', 'balance', 'lineitem', abs(f - r) <= 900000 FROM s UNION ALL SELECT 'same', 'balance', 'lineitem', q = f + r FROM s""")
 def check_total_and_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lines(spark, sf_dir, "l_quantity", "l_extendedprice")
-    total = str(frame(spark, sf_dir, "lineitem").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)"))).first()[0])
-    asked = [{"id": "fits", "type": "total", "column": "l_quantity", "expected": total}, {"id": "short", "type": "total", "column": "l_quantity", "expected": "1", "tolerance": "0.5"}, {"id": "sides", "type": "balance", "debit": "l_quantity", "credit": "l_extendedprice"}]
+    """Totals against a figure and against each other, some of which fit."""
+    l, first = frame(spark, sf_dir, "lineitem"), F.col("l_linenumber") == 1
+    q = F.col("l_quantity").cast("decimal(18,2)")
+    t = table_of(l.select("l_quantity", "l_extendedprice", F.when(first, q).otherwise(0).alias("first"), F.when(first, 0).otherwise(q).alias("rest"), q.alias("again")), "lineitem", ["l_quantity", "l_extendedprice", "first", "rest", "again"])
+    total = {"type": "total", "column": "l_quantity", "expected": "1530000"}
+    balance = lambda i, debit, credit, tolerance="0": {"id": i, "type": "balance", "debit": debit, "credit": credit, "tolerance": tolerance}
+    asked = [{"id": "near", "tolerance": "20000", **total}, {"id": "exactly", **total}, balance("sides", "l_quantity", "l_extendedprice"), balance("firsts", "first", "rest", "900000"), balance("same", "l_quantity", "again")]
     return one(t, checks=asked).checks
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_path
+from ..operators import reconcile
 from ..operators.strong import strong_components
 from ..sources import drafts
 from ..model import table_of
@@ -61,3 +62,21 @@ def allocate_large_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table_of(lines, "lines", ["l_orderkey", "l_linenumber", "g", "p", "far"], F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber"))
     split = lambda w, total, to, scale: {"op": "allocate", "by": ["g"], "weight": w, "total": {"literal": total}, "column": to, "scale": scale}
     return one(t, split("p", "1000000.07", "share", 2), split("far", "100000007", "long_share", 0), {"op": "select", "columns": ["l_orderkey", "l_linenumber", "share", "long_share"]}).rows()
+
+
+@query("""WITH x AS (SELECT 'statement' AS side, o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders
+UNION ALL SELECT 'journal', o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) + CAST((o_orderkey % 3 - 1) * 0.01 AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 4 <> 0),
+c AS (SELECT *, count(*) FILTER (side = 'journal') OVER w AS nj, count(*) FILTER (side = 'statement') OVER w AS ns, max(CASE WHEN side = 'journal' THEN id END) OVER w AS cj FROM x WINDOW w AS (ORDER BY a RANGE BETWEEN 0.01 PRECEDING AND 0.01 FOLLOWING)),
+p AS (SELECT l.id AS l, r.id AS r FROM c l JOIN c r ON l.side = 'statement' AND r.side = 'journal' AND l.nj = 1 AND r.ns = 1 AND l.cj = r.id),
+f AS (SELECT * FROM c WHERE NOT (side = 'statement' AND id IN (SELECT l FROM p)) AND NOT (side = 'journal' AND id IN (SELECT r FROM p))),
+i AS (SELECT 'matched' AS status, 1 AS s, 1 AS j FROM p UNION ALL SELECT 'missing', 1, 0 FROM f WHERE side = 'statement' AND nj = 0 UNION ALL SELECT 'missing', 0, 1 FROM f WHERE side = 'journal' AND ns = 0
+UNION ALL SELECT 'needs_input', count(*) FILTER (side = 'statement'), count(*) FILTER (side = 'journal') FROM f WHERE (side = 'statement' AND nj > 0) OR (side = 'journal' AND ns > 0) HAVING count(*) > 0)
+SELECT status, count(*) AS items, CAST(sum(s) AS BIGINT) AS n_statement, CAST(sum(j) AS BIGINT) AS n_journal FROM i GROUP BY 1""")
+def recon_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records share one account, currency and date: amounts alone tell them apart."""
+    o = frame(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("x"))
+    shared = {"account": F.lit("1"), "currency": F.lit("EUR"), "date": F.lit("2025-01-01"), "reference": F.lit(""), "batch": F.lit(""), "issue": F.lit(None).cast("string")}
+    side = lambda df, name, amount: df.select(F.concat(F.lit(name), F.col("o_orderkey").cast("string")).alias("id"), F.lit(name).alias("side"), amount.cast("decimal(38,12)").alias("amount"), *[c.alias(n) for n, c in shared.items()])
+    rows = side(o, "statement", F.col("x")).unionByName(side(o.where("o_orderkey % 4 <> 0"), "journal", F.col("x") + ((F.col("o_orderkey") % 3 - 1) * F.lit("0.01").cast("decimal(3,2)"))))
+    items = reconcile.matched(rows, "0.01", mode="composite", composite_confirmed=True)
+    return items.groupBy("status").agg(F.count(F.lit(1)).alias("items"), F.sum("n_statement").alias("n_statement"), F.sum("n_journal").alias("n_journal"))
