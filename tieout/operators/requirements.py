@@ -190,7 +190,8 @@ def chosen_dataset(datasets: DataFrame, document_id: str | None = None, title: s
     if not any(asked.values()):
         raise ValueError("a dataset is named by document, title or id")
     found = datasets.where(reduce(Column.__and__, [F.col(k) == v for k, v in asked.items() if v]))
-    return found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where("_n = 1").drop("_n")
+    one = found.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("*")).alias("_row"))  # of many a row for each task meets
+    return one.where("_n = 1").select("_row.*")
 
 
 def deadlines(tasks: DataFrame, now: Column) -> DataFrame:

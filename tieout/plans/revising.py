@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import POS, ROW, table_of
-from ..operators import edits, rebinding, snapshots
-from .catalogue import frame, query
+from ..operators import browse, edits, rebinding, requirements, review, snapshots
+from .catalogue import M, customers, frame, orders, query, side
 
 #: A table for each customer: its document is a nation, its title a segment and a number. Every 7th has a column more in the new revision, every 11th is gone, every 5th has another header.
 REVISIONS = """WITH o AS (SELECT c_custkey AS k, c_nationkey AS d, c_mktsegment || (c_custkey % 4) AS t, c_name AS h FROM customer),
@@ -106,3 +106,28 @@ def provenance_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = edits.provenance(base, corrections, made, effective)
     of = base.df.select(F.col(ROW).alias("row_id"), k.cast("string").alias("k"), kind.alias("kind"))
     return got.join(of, "row_id").select("k", "kind", "original", "effective", "corrected_by", "original_available")
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS c, CAST(c_custkey AS VARCHAR) AS k, sum({M("o_totalprice")}) AS x FROM orders RIGHT JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+f AS (SELECT k, CASE WHEN x IS NULL THEN 'group_missing' ELSE 'totals_differ' END AS code FROM s), r AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS place FROM f WHERE code = 'totals_differ')
+SELECT 'sums' AS check_id, k, code, CAST(place AS BIGINT) AS place, (SELECT count(*) FROM r) AS total FROM r WHERE place BETWEEN 20 AND 59""")
+def finding_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page and more of the findings that say that a customer's totals differ, in order of the customers' keys."""
+    r = review.run_review([review.Source(orders(spark, sf_dir, "o_custkey", "o_totalprice")), review.Source(customers(spark, sf_dir, "c_custkey", "c_acctbal"))], {"checks": [{"id": "sums", "confirmed": True, "kind": "totals", "left": side("orders", "o_totalprice", group_by=["o_custkey"]), "right": side("customer", "c_acctbal", group_by=["c_custkey"])}]})
+    found, total = browse.results(r.findings, ["sums"], text="Totals_Differ", status="difference", offset=20, limit=40)
+    return found.select("check_id", F.col("key")[0].alias("k"), "code", "place", F.lit(total).cast("long").alias("total"))
+
+
+@query("""WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer), a AS (SELECT place // 50 * 50 AS first FROM r WHERE k = '777')
+SELECT k, CAST(place AS BIGINT) AS place, CAST(first AS BIGINT) AS first, (SELECT count(*) FROM r) AS total FROM r, a WHERE place BETWEEN first AND first + 49""")
+def page_of_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of fifty rows that one row is on."""
+    found, first, total = browse.page(customers(spark, sf_dir, "c_custkey"), 50, row="customer:777")
+    return found.select(F.col("c_custkey").alias("k"), "place", F.lit(first).cast("long").alias("first"), F.lit(total).cast("long").alias("total"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_name AS title FROM customer WHERE c_custkey = 7 UNION ALL SELECT CAST(min(c_custkey) AS VARCHAR), min(c_name) FROM customer WHERE c_mktsegment = 'BUILDING' HAVING count(*) = 1""")
+def selected_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selector that names one dataset finds it; one that names several finds none."""
+    d = frame(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("dataset_id"), F.col("c_mktsegment").alias("document_id"), F.col("c_name").alias("title"))
+    return requirements.chosen_dataset(d, dataset_id="7").unionByName(requirements.chosen_dataset(d, document_id="BUILDING")).select("dataset_id", "title")
