@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import POS, ROW, table_of
 from ..operators import browse, edits, rebinding, requirements, review, snapshots
+from ..sources import readings
 from .catalogue import M, customers, frame, orders, query, side
 
 #: A table for each customer: its document is a nation, its title a segment and a number. Every 7th has a column more in the new revision, every 11th is gone, every 5th has another header.
@@ -131,3 +132,50 @@ def selected_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selector that names one dataset finds it; one that names several finds none."""
     d = frame(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("dataset_id"), F.col("c_mktsegment").alias("document_id"), F.col("c_name").alias("title"))
     return requirements.chosen_dataset(d, dataset_id="7").unionByName(requirements.chosen_dataset(d, document_id="BUILDING")).select("dataset_id", "title")
+
+
+#: Each document's captured response: every 11th has its result elsewhere, every 13th no id, every 17th isn't JSON; a second block has no place in every 5th, and a number for its text in every 7th.
+CAPTURED = """WITH d AS (SELECT doc_id AS k, lang, source FROM documents), r AS (SELECT k, CASE WHEN k % 17 = 0 THEN 'malformed_response' WHEN k % 13 = 0 THEN 'malformed_response' WHEN k % 11 = 0 THEN 'result_elsewhere' END AS code FROM d)"""
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "lang", "source")
+    k = F.col("k")
+    block = lambda i, text, width, score: F.concat(F.lit('{"type":"Text","content":'), text, F.lit(f',"granular_confidence":{{"parse_confidence":{score}}},"bbox":{{"left":0.1,"top":0.{i},"width":'), width, F.lit(',"height":0.25,"page":1,"original_page":2}}'))
+    quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("none")), F.lit('"'))
+    first, second = block(1, quoted(F.col("lang")), F.lit("0.5"), "0.9"), block(4, F.when(k % 7 == 0, "12").otherwise(quoted(F.col("source"))), F.when(k % 5 == 0, "0.95").otherwise("0.5"), '"high"')
+    job = F.when(k % 13 == 0, '""').otherwise(F.concat(F.lit('"job'), k.cast("string"), F.lit('"')))
+    body = F.concat(F.lit('{"job_id":'), job, F.lit(',"result":{"type":"'), F.when(k % 11 == 0, "url").otherwise("full"), F.lit('","chunks":[{"blocks":['), first, F.lit("]},{\"blocks\":["), second, F.when(k % 17 == 0, "").otherwise("]}]}}"))
+    return d.select(F.concat(F.lit("v"), k.cast("string")).alias("document_version_id"), F.sha2(k.cast("string"), 256).alias("source_sha256"), body.alias("response"))
+
+
+@query(f"""{CAPTURED} SELECT 'v' || k AS document_version_id, CASE WHEN code IS NULL AND k % 5 <> 0 AND k % 7 <> 0 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status, code, CASE WHEN code IS NULL THEN 2 ELSE 0 END AS n_blocks,
+CASE WHEN code IS NULL AND (k % 5 = 0 OR k % 7 = 0) THEN 1 ELSE 0 END AS n_malformed FROM r""")
+def response_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which captured responses are whole; one with a malformed block isn't available, though its other blocks are kept."""
+    of = readings.responses(_captured(spark, sf_dir))
+    return readings.availability(of, readings.observations(of)).select("document_version_id", "status", "code", "n_blocks", "n_malformed")
+
+
+@query(f"""{CAPTURED}, b AS (SELECT r.k, i, CASE WHEN i = 0 THEN lang ELSE source END AS text, i = 1 AND (r.k % 5 = 0 OR r.k % 7 = 0) AS bad, i = 1 AND r.k % 7 = 0 AS number FROM r JOIN d ON r.k = d.k, (VALUES (0), (1)) AS v(i) WHERE code IS NULL)
+SELECT 'v' || k AS document_version_id, CAST(i AS INT) AS block, CASE WHEN NOT number THEN coalesce(text, 'none') END AS raw_value, CASE WHEN bad THEN 'malformed_block' END AS code, CASE WHEN NOT bad THEN 2 END AS original_page, CASE WHEN NOT bad THEN (CASE i WHEN 0 THEN 0.35 ELSE 0.65 END)::DOUBLE END AS bottom,
+CASE i WHEN 0 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS confidence_status, NOT bad AS has_ids FROM b""")
+def response_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each block of each whole response says, and where."""
+    seen = readings.observations(readings.responses(_captured(spark, sf_dir)))
+    has = F.col("occurrence_id").isNotNull() & F.col("observation_id").isNotNull()
+    return seen.select("document_version_id", "block", "raw_value", "code", "original_page", F.round(F.get("bbox", F.lit(3)), 9).alias("bottom"), "confidence_status", has.alias("has_ids"))
+
+
+@query("""SELECT status, agreement, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'NOT_RUN' WHEN doc_id % 4 = 0 THEN 'UNAVAILABLE' ELSE 'COMPLETED' END AS status,
+CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'UNKNOWN' WHEN doc_id % 7 = 0 THEN 'DISAGREE' ELSE 'AGREE' END END AS agreement FROM documents) GROUP BY ALL""")
+def second_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of one number of each document by two parsers: not wanted, not there, twice (which tells nothing), different or the same."""
+    d = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("document_version_id"), F.col("n_chars").cast("string").alias("x"))
+    reading = lambda value: F.struct(F.lit("s").alias("scope"), F.lit("length").alias("metric"), F.lit("E").alias("entity_id"), F.lit("2024").alias("period"), F.lit("EUR").alias("currency"), F.lit("units").alias("raw_scale"), value.alias("value_decimal"))
+    rows = lambda df, value: df.select("document_version_id", F.concat(F.lit("o"), F.col("k").cast("string")).alias("occurrence_id"), reading(value).alias("reading"))
+    there = d.where("k % 4 <> 0")
+    second = rows(there, F.when(F.col("k") % 7 == 0, F.concat("x", F.lit("1"))).otherwise(F.concat("x", F.lit(".0")))).unionByName(rows(there.where("k % 5 = 0"), F.col("x")))
+    asked = d.select("document_version_id", (F.col("k") % 3 != 0).alias("requested"), F.lit(True).alias("answered"))
+    runs, pairs = readings.second_pass(rows(d, F.col("x")), second, asked)
+    return runs.join(pairs, "document_version_id", "left").groupBy("status", "agreement").agg(F.count(F.lit(1)).alias("n"))
