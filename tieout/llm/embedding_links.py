@@ -33,16 +33,17 @@ def _planes(size: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng(20_240_117).standard_normal((tables * bits, size))
 
 
+def _codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The codes of one vector in all tables; always worked out in this way, so that they are the same in every task."""
+    return ((_planes(len(x), bits, tables) @ x) > 0).reshape(tables, bits) @ (1 << np.arange(bits))
+
+
 def _hashed(bits: int, tables: int):
     """(id, n, label, v) -> the same with codes: the codes of v in all tables, CODE bytes each."""
-    powers = 1 << np.arange(bits)
 
     def run(batches):
         for b in batches:
-            codes = []
-            for v in b.column(3):
-                x = np.array(v.as_py(), float)
-                codes.append(((((_planes(len(x), bits, tables) @ x) > 0).reshape(tables, bits) @ powers).astype(">u4")).tobytes())
+            codes = [_codes(np.array(v.as_py(), float), bits, tables).astype(">u4").tobytes() for v in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary())], names=["id", "n", "label", "v", "codes"])
 
     return run
@@ -66,27 +67,33 @@ def _spanning(near: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     return out_a, out_b
 
 
-def _compared(cosine: float):
-    """Of one bucket, or of two blocks of a large one: links of each vector that no earlier table has, and edges that span the linked."""
+def _compared(cosine: float, bits: int, tables: int):
+    """Of one bucket, or of two blocks of a large one: links of each vector that no earlier table has, and edges that span the linked.
+
+    Which pairs earlier tables bring together follows from the codes of the linked vectors, worked out here.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        first, second = key[3].as_py(), key[4].as_py()
+        table, first, second = (key[i].as_py() for i in (2, 3, 4))
         ids, block, times = (group[c].to_numpy() for c in ("id", "block", "times"))
         sizes = np.array([len(v) for v in group["v"]])
-        earlier = np.frombuffer(b"".join(group["earlier"].to_pylist()), ">u4").reshape(len(ids), -1)
         out_id, out_n, edge_a, edge_b = [], [], [], []
         for size in np.unique(sizes):
             at = np.nonzero(sizes == size)[0]
-            x = np.array([group["v"][int(i)].as_py() for i in at], float)
-            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            raw = np.array([group["v"][int(i)].as_py() for i in at], float)
+            x = raw / np.sqrt((raw * raw).sum(1, keepdims=True))
             left = np.nonzero(block[at] == first)[0]
             right = np.nonzero(block[at] == second)[0]
             near = np.zeros((len(at), len(at)), bool)
             near[np.ix_(left, right)] = x[left] @ x[right].T >= cosine
             near |= near.T
             np.fill_diagonal(near, False)
-            for codes in earlier[at].T:  # pairs that an earlier table brought together are counted there
-                near &= codes[:, None] != codes[None, :]
+            linked = np.nonzero(near.any(0))[0]
+            if table and len(linked):
+                inner = near[np.ix_(linked, linked)]
+                for codes in np.array([_codes(raw[i], bits, tables)[:table] for i in linked]).T:  # pairs that an earlier table brought together are counted there
+                    inner &= codes[:, None] != codes[None, :]
+                near[np.ix_(linked, linked)] = inner
             n = near @ times[at]
             some = np.nonzero(n)[0]
             out_id += ids[at][some].tolist()
@@ -129,18 +136,18 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     bits, tables = tables_for(largest, cosine)
     kinds = {c: points.schema[c].dataType.simpleString() for c in ("label", "v")}
     hashed = points.select("id", "n", "label", "v").mapInArrow(_hashed(bits, tables), f"id long, n long, label {kinds['label']}, v {kinds['v']}, codes binary")
-    # a row goes to each table with its code there and those of earlier tables
+    # a row goes to each table with its code there
     t = F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))
     code = F.expr(f"substring(codes, t * {CODE} + 1, {CODE})")
     sizes = hashed.select("label", "codes", t.alias("t")).select("label", "t", code.alias("code")).groupBy("label", "t", "code").count().where(F.col("count") > 1)
     sizes = sizes.select(F.col("label").alias("l"), F.col("t").alias("u"), F.col("code").alias("c"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    spread = hashed.select("id", F.col("n").alias("times"), "label", "v", "codes", t.alias("t")).withColumn("code", code).withColumn("earlier", F.expr(f"substring(codes, 1, t * {CODE})")).drop("codes")
+    spread = hashed.select("id", F.col("n").alias("times"), "label", "v", "codes", t.alias("t")).withColumn("code", code).drop("codes")
     dealt = spread.join(sizes, (F.col("label") == F.col("l")) & (F.col("t") == F.col("u")) & (F.col("code") == F.col("c")))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a row meets each block once: with its own block as the first of the pair or as the second
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("id", "times", "label", "v", "earlier", "t", "code", "block", other.alias("other")).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-    found = dealt.groupBy("label", "code", "t", "first", "second").applyInArrow(_compared(cosine), "id long, n long, a long, b long")
+    dealt = dealt.select("id", "times", "label", "v", "t", "code", "block", other.alias("other")).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    found = dealt.groupBy("label", "code", "t", "first", "second").applyInArrow(_compared(cosine, bits, tables), "id long, n long, a long, b long")
     found = checkpointed(found)
     counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n_links"))
     parts = connected_components(found.where("a is not null").select("a", "b")).withColumnRenamed("node", "id")
