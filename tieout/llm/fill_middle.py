@@ -68,7 +68,7 @@ def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for whole in batches:
                 for batch in _steps(whole):
                     con.register("batch", pa.Table.from_batches([batch]))
-                    yield from con.execute(statement).to_arrow_table().to_batches()
+                    yield from con.sql(statement).to_arrow_table().to_batches()
                     con.unregister("batch")
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
