@@ -102,3 +102,16 @@ def test_sums_of_any_length(spark):
     assert got["far"] == (None, 2) and got["none"] == ("0", 2) and len(got["0"][0]) > 95
     one = sums.grouped_sums(df.where("g = '1'"), {}, {"a": F.col("x"), "b": F.concat("x", F.lit("0"))}, {}).first()
     assert (one.a, one.b) == (got["1"][0], got["1"][0] + "0") and sums.grouped_sums(df.limit(0), {}, {"a": F.col("x")}, {}).first().a == "0"
+
+
+def test_numbers_out_of_range(spark):
+    from tieout.functions import exact
+
+    texts = ["9" * 101, "9" * 102, "0." + "0" * 99 + "1", "0." + "0" * 100 + "1", "0." + "0" * 100, "0." + "0" * 101, "." + "0" * 150 + "7", "-1." + "0" * 150, "0" * 150, "1." + "0" * 120 + "1"]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", decimals.error(F.col("x")).alias("e")).collect()
+    for r in got:
+        try:
+            exact._plain(r.x)
+            assert r.e is None, r.x
+        except exact.Fault as fault:
+            assert r.e == str(fault), r.x

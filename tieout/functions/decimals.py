@@ -41,8 +41,10 @@ def number(c: Column) -> Column:
 
 
 def error(c: Column) -> Column:
-    """Why c is no number, or null."""
-    return F.when(c.isNull(), MISSING).when(~is_canonical(c), NOT_DECIMAL).when(~is_held(c) & (F.length(_before_point(c)) > LARGEST), TOO_LONG)
+    """Why c is no number, or null. A number may have LARGEST digits before the point, and its first digit not later than that after it."""
+    before, after = _before_point(c), _after_point(c)
+    late = (before == "") & (F.length(after) >= LARGEST) & (F.length(F.regexp_replace(after, f"^0{{{LARGEST - 1}}}", "")) < F.length(after))
+    return F.when(c.isNull(), MISSING).when(~is_canonical(c), NOT_DECIMAL).when(~is_held(c) & ((F.length(before) > LARGEST) | late), TOO_LONG)
 
 
 def digits_after_point(c: Column) -> Column:

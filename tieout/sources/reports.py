@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import formula_safe
 from ..model import ROW, Table
 from ..operators.lineage import lineage
+from ..operators.snapshots import multiset_digest
 from .exports import _written_csv
 
 
@@ -33,11 +34,9 @@ def source_manifest(table: Table, keys: list[str] | None = None) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A checksum of a table's rows, whatever their order; repeated rows count."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    again = F.xxhash64(F.lit("again"), *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    n, a, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0)), F.coalesce(F.sum(again), F.lit(0))).first()
-    return digest({"columns": df.columns, "rows": n, "sums": [str(a), str(b)]})
+    """A checksum of a table's columns and rows, whatever the rows' order; repeated rows count."""
+    rows = df.agg(multiset_digest(F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])))).first()[0]
+    return digest({"columns": df.columns, "rows": rows})
 
 
 def finding_records(findings: DataFrame, records: DataFrame, tables: list[Table], corrections: DataFrame | None = None) -> DataFrame:
