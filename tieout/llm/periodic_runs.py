@@ -25,6 +25,8 @@ from .common import WORD, let
 
 #: A run has so many words and so many periods at least.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
+#: Passes at most in which stretches are made shorter.
+PASSES = 6
 #: Bytes of text whose trees are built together (a longer text goes alone), and leaves looked up at once.
 STEP_BYTES, STEP_LEAVES = 2 << 20, 1 << 20
 
@@ -39,10 +41,13 @@ def window_of(words: int, periods: int) -> int:
 def repeating(codes: np.ndarray, part: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, stretch of each): the places of windows that come twice or more in their stretch; a stretch lies in one part.
 
-    Windows are told by a hash: one taken for another by chance makes a stretch longer and changes no run.
+    Windows are told by a hash: one taken for another by chance makes a stretch longer and changes no run, and
+    neither does a stretch that more passes would make shorter.
     """
     places, stretch = np.arange(len(codes)), part
-    while len(places):
+    for _ in range(PASSES):
+        if not len(places):
+            break
         n, here = len(places), codes[places].astype(np.uint64)
         h = stretch.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k in range(window):
