@@ -249,6 +249,24 @@ def test_lattice_scores_of_whole_documents(spark, frequent):
         assert got[i].score == pytest.approx(sum(brute_log10(w, logs) for w in words) + logs[lattice_lm.END] / math.log(10))
 
 
+@pytest.mark.parametrize("frequent", [4, 1 << 19])
+def test_counted_lattice_scores(spark, frequent):
+    texts = [" ".join(f"w{i * j % 7}ord" for j in range(40)) for i in range(30)] + [None, "日x unmet"]
+    got = by_id(lattice_lm.lattice_scores(docs(spark, texts), PIECES, held_out(F.col("doc_id"), 7, 2), frequent=frequent, counted=True))
+    logs = lattice_lm.pieces(PIECES).logs
+    words = {i: (t or "").split() for i, t in enumerate(texts)}
+    c = Counter(w for i in words if not got[i].held_out for w in [*words[i], None])
+    n, v = sum(c.values()), len(c)
+    spelt = {w: logs[lattice_lm.END] / math.log(10) if w is None else brute_log10(w, logs) for i in words for w in [*words[i], None]}
+    for i in words:
+        assert got[i].score == pytest.approx(sum(math.log10((c[w] + v * 10 ** spelt[w]) / (n + v)) for w in [*words[i], None]))
+    held = [r for r in got.values() if r.held_out and r.n_known == r.n_tokens]
+    assert len(held) > 1 and all(r.score > r.base_score - 0.2 * r.n_tokens for r in held)
+    assert sum(10 ** lattice_lm.log10_mixed(c[w], spelt[w], n, v) for w in spelt) < 1
+    none = by_id(lattice_lm.lattice_scores(docs(spark, ["a" * 3000, ""]), PIECES, F.lit(True), counted=True))
+    assert all(math.isfinite(r.score) for r in none.values()) and lattice_lm.log10_mixed(0, -5000.0, 10, 5) == pytest.approx(-5000 + math.log10(5 / 15)) and math.isfinite(lattice_lm.log10_mixed(2, -5000.0, 10, 5))
+
+
 def test_lattice_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "the cat"), (1, "a" * 100_000), (1, "a" * 100_000), (2, "x " * 20_000)], "doc_id long, text string")
     rows = lattice_lm.lattice_scores(df, PIECES, F.lit(None)).collect()

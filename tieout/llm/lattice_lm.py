@@ -9,6 +9,11 @@ How a file's scores are read: those of a unigram file are natural logarithms of
 merge type has whole numbers in their place (0, -1, -2, ..., and one far below for pieces that no merge
 makes), which only rank the pieces; there a piece of rank r weighs 1 / (RANK + r), Zipf's law. Bytes and the end have no score of their own and weigh as much as the least piece. Weights are made to
 sum to 1 once; nothing of them is learnt. What is learnt are the word counts that base_score takes.
+
+With counted, each token is one more arc of its lattice, over the whole of it: with N tokens to learn from, V
+of them different, a token counted c times has probability (c + V * p) / (N + V), p being the sum over its
+segmentations. So words that were met weigh as they were met, all others as the pieces spell them, and the
+probabilities of all tokens still sum to 1 at most.
 """
 
 from __future__ import annotations
@@ -109,12 +114,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def lattice_scores(docs: DataFrame, path: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def log10_mixed(c: int, lattice: float, n: int, v: int) -> float:
+    """log10((c + v * 10 ** lattice) / (n + v)), finite however small the lattice's part is; without counts the lattice alone."""
+    if not v:
+        return lattice
+    return (math.log10(c + v * 10**lattice) if c else math.log10(v) + lattice) - math.log10(n + v)
+
+
+def lattice_scores(docs: DataFrame, path: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, counted: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of docs.
 
     Tokens are the words of the text, lower-cased in A-Z, and one end. The words of rows without held_out are
     counted. base_score adds log10((c + 1) / (N + V + 1)) over the tokens; score is the lattice's log10
-    probability of the words and the end. Each different word is scored once and joined with the documents;
+    probability of the words and the end, and with counted that of the lattice together with the counts. Each different word is scored once and joined with the documents;
     frequent words, fewer than frequent whatever the input, are broadcast instead. A null or empty text is
     its end alone; texts and words of any length are scored whole; repeated rows each keep their row; a row
     with a null id is counted; other columns are ignored; an empty table gives an empty result, and
@@ -134,6 +146,8 @@ def lattice_scores(docs: DataFrame, path: str, held_out: Column, id_col: str = "
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lattice = [log_probability(_text(w), logs, longest) / LOG10 for w in b.column(0).to_pylist()]
+            if counted:
+                lattice = [log10_mixed(c, x, n, v) for c, x in zip(b.column(1).to_pylist(), lattice)]
             base = [math.log10((c + 1) / (n + v + 1)) for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.float64()), pa.array(lattice, pa.float64())], names=["word", "c", "base", "lattice"])
 
@@ -141,7 +155,8 @@ def lattice_scores(docs: DataFrame, path: str, held_out: Column, id_col: str = "
     # at most `frequent` words can have more than n / frequent of the n tokens each
     often = table.where((F.col("c") > n // frequent) & (F.col("c") > 0) & (F.octet_length("word") <= FREQUENT_BYTES))
     sent = docs.sparkSession.sparkContext.broadcast({bytes(r["word"]): (r["base"], r["lattice"]) for r in often.toLocalIterator()})
-    end = (math.log10((n_docs + 1) / (n + v + 1)), logs[END] / LOG10, int(n_docs > 0))
+    last = logs[END] / LOG10
+    end = (math.log10((n_docs + 1) / (n + v + 1)), log10_mixed(n_docs, last, n, v) if counted else last, int(n_docs > 0))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with what its frequent words and its end add, and one for each other word of it."""
