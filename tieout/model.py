@@ -12,11 +12,16 @@ ROW, POS = "_row_id", "_pos"
 
 @dataclass(frozen=True)
 class Input:
-    """A table that another one was made of: which rows of it went into which (out, source; None: the same ids), and which columns."""
+    """A table that another one was made of: which rows of it went into which (out, source; None: the same ids), and which columns.
+
+    Links name each pair once. gathers says which way they part: a row of it goes into one row at most, as in
+    groups; otherwise a row is made of one row of it at most.
+    """
 
     table: Table
     columns: dict[str, tuple[str, ...]]
     links: DataFrame | None = None
+    gathers: bool = False
 
 
 @dataclass(frozen=True)
@@ -34,10 +39,10 @@ class Table:
         """The table with other rows or cells of the same rows."""
         return replace(self, df=df, keys=self.keys if keys is None else keys)
 
-    def made(self, df: DataFrame, keys: tuple[str, ...], columns: dict[str, tuple[str, ...]] | None = None, links: DataFrame | None = None, more: tuple[Input, ...] = ()) -> Table:
+    def made(self, df: DataFrame, keys: tuple[str, ...], columns: dict[str, tuple[str, ...]] | None = None, links: DataFrame | None = None, more: tuple[Input, ...] = (), gathers: bool = False) -> Table:
         """A table made of this one. Columns that aren't named come from those of the same key."""
         own = {k: (columns or {}).get(k, (k,) if k in self.keys else ()) for k in keys}
-        return replace(self, df=df, keys=keys, inputs=(Input(self, {k: c for k, c in own.items() if c}, links), *more))
+        return replace(self, df=df, keys=keys, inputs=(Input(self, {k: c for k, c in own.items() if c}, links, gathers), *more))
 
     def label(self, key: str) -> str:
         return self.labels.get(key, key)

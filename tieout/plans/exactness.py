@@ -109,8 +109,9 @@ def lineage_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source cells of each group's sum of derived values."""
     t = lines(spark, sf_dir, "l_returnflag", "l_extendedprice", "l_discount")
     r = one(t, {"op": "derive", "columns": {"net": NET}}, {"op": "aggregate", "by": ["l_returnflag"], "metrics": {"net": {"op": "sum", "column": "net"}}})
-    refs = r.lineage(["net"]).join(r.output.df.select(F.col(ROW).alias("row_id"), "l_returnflag"), "row_id")
-    return refs.groupBy("l_returnflag", "source_column").agg(F.count(F.lit(1)).alias("n"))
+    refs = r.lineage(["net"]).groupBy("row_id", "source_column").agg(F.count(F.lit(1)).alias("n"))  # counted before they meet the few groups
+    groups = r.output.df.select(F.col(ROW).alias("row_id"), "l_returnflag")
+    return refs.join(groups, "row_id").groupBy("l_returnflag", "source_column").agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'customer:' || o_custkey AS source_row, 'c_name' AS source_column FROM orders WHERE o_orderstatus = 'F'
