@@ -44,7 +44,8 @@ def error(c: Column) -> Column:
     """Why c is no number, or null. A number may have LARGEST digits before the point, and its first digit not later than that after it."""
     before, after = _before_point(c), _after_point(c)
     late = (before == "") & (F.length(after) >= LARGEST) & (F.length(F.regexp_replace(after, f"^0{{{LARGEST - 1}}}", "")) < F.length(after))
-    return F.when(c.isNull(), MISSING).when(~is_canonical(c), NOT_DECIMAL).when(~is_held(c) & ((F.length(before) > LARGEST) | late), TOO_LONG)
+    usual = is_held(c) & (F.length(c) <= LONGEST)  # told by one pattern; the others are only tried on what it leaves
+    return F.when(usual, None).when(c.isNull(), MISSING).when(~is_canonical(c), NOT_DECIMAL).when(~is_held(c) & ((F.length(before) > LARGEST) | late), TOO_LONG)
 
 
 def digits_after_point(c: Column) -> Column:
@@ -63,10 +64,11 @@ def _after_point(c: Column) -> Column:
 
 def order_key(c: Column) -> Column:
     """A text for each number that sorts as the numbers do; the same for numbers that are equal."""
+    plain = F.concat(F.lit("1"), F.lpad(F.length(c).cast("string"), 3, "0"), c, F.lit("."))  # a whole number that begins with no sign or zero is its own digits
     whole, rest = _before_point(c), F.rtrim(F.translate(_after_point(c), "0", " "))
     size = F.concat(F.lpad(F.length(whole).cast("string"), 3, "0"), whole, F.lit("."), F.translate(rest, " ", "0"))
     minus = c.startswith("-") & ((whole != "") | (rest != ""))
-    return F.when(minus, F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), size))
+    return F.when(c.rlike(r"^[1-9][0-9]{0,100}\z"), plain).when(minus, F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), size))
 
 
 def written(value: Column, digits: Column, scale: int = SCALE) -> Column:

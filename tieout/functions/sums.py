@@ -56,19 +56,22 @@ def grouped_sums(df: DataFrame, by: dict[str, Column], cells: dict[str, Column],
     each place before they meet, whatever the group's size. Without by there is one row, of nulls if df is empty.
     """
     keys, names = [f"_by{i}" for i in range(len(by))], list(cells)
-    wide = [~d.is_held(c) & d.error(c).isNull() for c in cells.values()]
-    rows = df.withColumns({f"_by{i}": c for i, c in enumerate(by.values())})
+    given, cells = cells, {n: F.col(f"_c{i}") for i, n in enumerate(cells)}
+    # columns of their own, so that what is named several times is worked out once a row
+    rows = df.withColumns({f"_by{i}": c for i, c in enumerate(by.values())} | {f"_c{i}": c for i, c in enumerate(given.values())})
+    rows = rows.withColumns({f"_n{i}": d.number(c).cast(HELD) for i, c in enumerate(cells.values())} | {f"_ok{i}": d.error(c).isNull() for i, c in enumerate(cells.values())})
+    wide = [F.col(f"_n{i}").isNull() & F.col(f"_ok{i}") for i in range(len(cells))]
     some = wide[0]
     for w in wide[1:]:
         some = some | w
     none = F.array(F.lit(None).cast("struct<number:int,place:int,limb:bigint>"))
     limbs = F.concat(none, *[F.when(w, _limbs(c, i)).otherwise(F.array().cast("array<struct<number:int,place:int,limb:bigint>>")) for i, (w, c) in enumerate(zip(wide, cells.values()))])
     rows = rows.withColumn("_limb", F.explode_outer(F.when(some, limbs)))  # one row with null for each row of df, and its limbs
-    number = lambda c: F.when(d.is_held(c), c.cast(HELD))
     own = []
     for i, c in enumerate(cells.values()):
-        whole = F.floor(number(c)).cast("decimal(19,0)")
-        own += [F.sum(whole.cast(SUM)).alias(f"w{i}"), F.sum((number(c) - whole).cast("decimal(38,12)")).alias(f"r{i}"), F.max(F.when(d.error(c).isNull(), d.digits_after_point(c))).alias(f"d{i}")]
+        number = F.col(f"_n{i}")
+        whole = F.floor(number).cast("decimal(19,0)")
+        own += [F.sum(whole.cast(SUM)).alias(f"w{i}"), F.sum((number - whole).cast("decimal(38,12)")).alias(f"r{i}"), F.max(F.when(F.col(f"_ok{i}"), d.digits_after_point(c))).alias(f"d{i}")]
     parts = rows.groupBy(*keys, F.col("_limb.number").alias("_number"), F.col("_limb.place").alias("_place")).agg(F.sum(F.col("_limb.limb").cast(SUM)).alias("_sum"), F.struct(*own, *[a.alias(n) for n, a in others.items()]).alias("_own"))
     limb = F.when(F.col("_place").isNotNull(), F.struct(F.col("_number").alias("number"), F.concat_ws(":", "_place", "_sum").alias("text")))
     met = parts.groupBy(*keys).agg(F.first(F.when(F.col("_place").isNull(), F.col("_own")), ignorenulls=True).alias("_own"), F.collect_list(limb).alias("_limbs"))
