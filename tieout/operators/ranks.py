@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
 
 
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df parted by a hash of columns, in as many parts as shuffles have: adaptive execution leaves a number that is asked for, so a task holds no more."""
+    return df.repartition(parts(df.sparkSession), *columns)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with name: 0, 1, 2, ... in that order. Rows are parted by ranges of it; a count for each part comes to the driver."""
     at, part = f"_at_{name}", f"_part_{name}"
@@ -31,8 +40,8 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
 
     Rows are parted by ranges of the order; the sums of each part come to the driver, one row for each.
     """
-    ranged = checkpointed(df.withColumns({f"_own_{n}": c.cast("decimal(38,0)") for n, c in sums.items()}).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    parted = ranged.withColumn("_part", F.shiftright("_at", 33))
+    ranged = checkpointed(df.withColumns({f"_own_{n}": c.cast("decimal(38,0)") for n, c in sums.items()}).repartitionByRange(parts(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    parted = spread(ranged.withColumn("_part", F.shiftright("_at", 33)), "_part")
     before, starts = dict.fromkeys(sums, Decimal(0)), []
     for r in sorted(parted.groupBy("_part").agg(*[F.sum(f"_own_{n}").alias(n) for n in sums]).collect()):
         starts.append((r["_part"], *before.values()))
