@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, decimals
 from ..functions.exact import exact
+from .ranks import spread
 
 #: The six columns of a pack's rows and what each must look like.
 LAYOUT = {
@@ -186,8 +187,10 @@ def corrected(of: DataFrame, corrections: DataFrame, evidence: DataFrame) -> tup
     facts(fact_id, version, ...); corrections(fact_id, version, value_decimal, entity_id, period, currency, source_id);
     evidence(source_id, fact_id, entity_id, period, currency) says which source supports which fact. A value has 28 digits and 12 decimals at most.
     """
-    support = evidence.select(F.col("source_id").alias("_s"), F.col("fact_id").alias("_f"), *[F.col(k).alias(f"_{k}") for k in SCOPE]).distinct()
+    support = evidence.select(F.col("source_id").alias("_s"), F.col("fact_id").alias("_f"), *[F.col(k).alias(f"_{k}") for k in SCOPE])
     holds = reduce(Column.__and__, [F.col(k) == F.col(f"_{k}") for k in SCOPE])
+    # many small parts by fact: the joins and groups below keep them, so that no task holds many facts
+    of, corrections, support = spread(of, "fact_id"), spread(corrections, "fact_id"), spread(support, "_f").distinct()
     c = corrections.join(support, (F.col("source_id") == F.col("_s")) & (F.col("fact_id") == F.col("_f")), "left").withColumn("_ok", F.coalesce(holds, F.lit(False)))
     c = c.groupBy(*corrections.columns).agg(F.max("_ok").alias("_ok"))
     c = c.join(of.select("fact_id", F.col("version").alias("_now")), "fact_id", "left")
