@@ -24,9 +24,13 @@ SUM = "decimal(38,0)"
 HELD = f"decimal(30,{d.SCALE})"
 
 
-def _limbs(c: Column, number: int) -> Column:
-    """(number, place, limb) of the limbs of c that aren't zero; place 0 stands just before the point."""
-    text = F.concat(F.lpad(d._before_point(c), LIMB * BEFORE, "0"), F.rpad(d._after_point(c), LIMB * AFTER, "0"))
+def _digits(c: Column) -> Column:
+    """All digits of c that limbs are cut from."""
+    return F.concat(F.lpad(d._before_point(c), LIMB * BEFORE, "0"), F.rpad(d._after_point(c), LIMB * AFTER, "0"))
+
+
+def _limbs(c: Column, text: Column, number: int) -> Column:
+    """(number, place, limb) of the limbs of c that aren't zero; place 0 stands just before the point. text are its digits, a column of its own: a limb after the other reads it."""
     sign = F.when(c.startswith("-"), -1).otherwise(1)
     limb = lambda k: F.struct(F.lit(number).alias("number"), (F.lit(BEFORE - 1) - k).alias("place"), (F.substr(text, k * LIMB + 1, F.lit(LIMB)).cast("long") * sign).alias("limb"))
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(BEFORE + AFTER - 1)), limb), lambda s: s["limb"] != 0)
@@ -61,11 +65,12 @@ def grouped_sums(df: DataFrame, by: dict[str, Column], cells: dict[str, Column],
     rows = df.withColumns({f"_by{i}": c for i, c in enumerate(by.values())} | {f"_c{i}": c for i, c in enumerate(given.values())})
     rows = rows.withColumns({f"_n{i}": d.number(c).cast(HELD) for i, c in enumerate(cells.values())} | {f"_ok{i}": d.error(c).isNull() for i, c in enumerate(cells.values())})
     wide = [F.col(f"_n{i}").isNull() & F.col(f"_ok{i}") for i in range(len(cells))]
+    rows = rows.withColumns({f"_t{i}": F.when(w, _digits(c)) for i, (w, c) in enumerate(zip(wide, cells.values()))})
     some = wide[0]
     for w in wide[1:]:
         some = some | w
     none = F.array(F.lit(None).cast("struct<number:int,place:int,limb:bigint>"))
-    limbs = F.concat(none, *[F.when(w, _limbs(c, i)).otherwise(F.array().cast("array<struct<number:int,place:int,limb:bigint>>")) for i, (w, c) in enumerate(zip(wide, cells.values()))])
+    limbs = F.concat(none, *[F.when(w, _limbs(c, F.col(f"_t{i}"), i)).otherwise(F.array().cast("array<struct<number:int,place:int,limb:bigint>>")) for i, (w, c) in enumerate(zip(wide, cells.values()))])
     rows = rows.withColumn("_limb", F.explode_outer(F.when(some, limbs)))  # one row with null for each row of df, and its limbs
     own = []
     for i, c in enumerate(cells.values()):
