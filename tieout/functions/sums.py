@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from . import decimals as d
 
-#: Digits of a limb; limbs before the point (LARGEST digits at most) and after it (LONGEST digits at most).
+#: Digits of a limb.
 LIMB = 18
-BEFORE, AFTER = -(-d.LARGEST // LIMB), -(-d.LONGEST // LIMB)
 #: Fixed value: digits that a sum may have.
 DIGITS = 256
 SUM = "decimal(38,0)"
@@ -25,15 +24,20 @@ HELD = f"decimal(30,{d.SCALE})"
 
 
 def _digits(c: Column) -> Column:
-    """All digits of c that limbs are cut from."""
-    return F.concat(F.lpad(d._before_point(c), LIMB * BEFORE, "0"), F.rpad(d._after_point(c), LIMB * AFTER, "0"))
+    """The digits of c that limbs are cut from, filled up to whole limbs on both sides of the point, which stays."""
+    full = lambda text: (F.ceil(F.length(text) / LIMB) * LIMB).cast("int")
+    before, after = d._before_point(c), d._after_point(c)
+    return F.concat(F.lpad(before, full(before), F.lit("0")), F.lit("."), F.rpad(after, full(after), F.lit("0")))
 
 
 def _limbs(c: Column, text: Column, number: int) -> Column:
     """(number, place, limb) of the limbs of c that aren't zero; place 0 stands just before the point. text are its digits, a column of its own: a limb after the other reads it."""
     sign = F.when(c.startswith("-"), -1).otherwise(1)
-    limb = lambda k: F.struct(F.lit(number).alias("number"), (F.lit(BEFORE - 1) - k).alias("place"), (F.substr(text, k * LIMB + 1, F.lit(LIMB)).cast("long") * sign).alias("limb"))
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(BEFORE + AFTER - 1)), limb), lambda s: s["limb"] != 0)
+    before = ((F.instr(text, ".") - 1) / LIMB).cast("int")
+    after = ((F.length(text) - F.instr(text, ".")) / LIMB).cast("int")
+    limb = lambda k: F.struct(F.lit(number).alias("number"), (-k).alias("place"), (F.substr(text, F.when(k > 0, 2).otherwise(1) + (before - 1 + k) * LIMB, F.lit(LIMB)).cast("long") * sign).alias("limb"))
+    some = F.when(before + after > 0, F.sequence(1 - before, after)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(some, limb), lambda s: s["limb"] != 0)
 
 
 def _carried(sums: pa.Array) -> pa.Array:
