@@ -16,9 +16,10 @@ STEP = {"op": "allocate", "by": ["g"], "weight": "w", "total": {"column": "total
 
 
 def test_rows_of_large_groups_are_not_written(spark, monkeypatch):
-    kept = []
+    kept, evaluated = [], []
 
     def counting(df):
+        evaluated.append(df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython"))
         df = checkpointed(df)
         kept.append(df.count())
         return df
@@ -32,7 +33,7 @@ def test_rows_of_large_groups_are_not_written(spark, monkeypatch):
     split = lambda w, to: {"id": to, "by": ["g"], "weight": w, "total": {"literal": "1000.01"}, "column": to}
     made = steps.allocate(t, split("w", "a"), {})[0]
     out = steps.allocate(made, split("far", "b"), {})[0].df
-    assert max(kept) < 100
+    assert max(kept) < 100 and max(evaluated) == 1
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
     sums_of = out.groupBy("g").agg(F.sum(F.col("a").cast("decimal(20,2)")).alias("a"), F.sum(F.col("b").cast("decimal(20,2)")).alias("b"), F.count_if(F.col("a") != F.col("b")).alias("n")).collect()

@@ -30,13 +30,13 @@ def _digits(c: Column) -> Column:
     return F.concat(F.lpad(before, full(before), F.lit("0")), F.lit("."), F.rpad(after, full(after), F.lit("0")))
 
 
-def _limbs(c: Column, text: Column, number: int) -> Column:
-    """(number, place, limb) of the limbs of c that aren't zero; place 0 stands just before the point. text are its digits, a column of its own: a limb after the other reads it."""
+def _limbs(c: Column, text: Column, before: Column, number: int) -> Column:
+    """(number, place, limb) of the limbs of c that aren't zero; place 0 stands just before the point. text are its digits, before how many limbs it has before the point: columns of their own, as a limb after the other reads them."""
     sign = F.when(c.startswith("-"), -1).otherwise(1)
-    before = ((F.instr(text, ".") - 1) / LIMB).cast("int")
-    after = ((F.length(text) - F.instr(text, ".")) / LIMB).cast("int")
-    limb = lambda k: F.struct(F.lit(number).alias("number"), (-k).alias("place"), (F.substr(text, F.when(k > 0, 2).otherwise(1) + (before - 1 + k) * LIMB, F.lit(LIMB)).cast("long") * sign).alias("limb"))
-    some = F.when(before + after > 0, F.sequence(1 - before, after)).otherwise(F.array().cast("array<int>"))
+    all_of = F.floor(F.length(text) / LIMB).cast("int")
+    # limb k of text begins after the point from k = before on
+    limb = lambda k: F.struct(F.lit(number).alias("number"), (before - 1 - k).alias("place"), (F.substr(text, F.when(k < before, 1).otherwise(2) + k * LIMB, F.lit(LIMB)).cast("long") * sign).alias("limb"))
+    some = F.when(all_of > 0, F.sequence(F.lit(0), all_of - 1)).otherwise(F.array().cast("array<int>"))
     return F.filter(F.transform(some, limb), lambda s: s["limb"] != 0)
 
 
@@ -57,24 +57,25 @@ def _carried(sums: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def grouped_sums(df: DataFrame, by: dict[str, Column], cells: dict[str, Column], others: dict[str, Column]) -> DataFrame:
+def grouped_sums(df: DataFrame, by: dict[str, Column], cells: dict[str, Column], others: dict[str, Column], fine: dict[str, Column] | None = None) -> DataFrame:
     """by, others and, for each of cells, its exact sum as text ('0' of none; null if it has over DIGITS digits).
 
-    Cells that are no numbers are left out. others are aggregates of the rows. A group's limbs are one row for
+    Cells that are no numbers are left out; fine are columns of df that tell it where it is known. others are aggregates of the rows. A group's limbs are one row for
     each place before they meet, whatever the group's size. Without by there is one row, of nulls if df is empty.
     """
     keys, names = [f"_by{i}" for i in range(len(by))], list(cells)
     given, cells = cells, {n: F.col(f"_c{i}") for i, n in enumerate(cells)}
     # columns of their own, so that what is named several times is worked out once a row
     rows = df.withColumns({f"_by{i}": c for i, c in enumerate(by.values())} | {f"_c{i}": c for i, c in enumerate(given.values())})
-    rows = rows.withColumns({f"_n{i}": d.number(c).cast(HELD) for i, c in enumerate(cells.values())} | {f"_ok{i}": d.error(c).isNull() for i, c in enumerate(cells.values())})
+    rows = rows.withColumns({f"_n{i}": d.number(c).cast(HELD) for i, c in enumerate(cells.values())} | {f"_ok{i}": (fine or {}).get(n, d.error(c).isNull()) for i, (n, c) in enumerate(cells.items())})
     wide = [F.col(f"_n{i}").isNull() & F.col(f"_ok{i}") for i in range(len(cells))]
     rows = rows.withColumns({f"_t{i}": F.when(w, _digits(c)) for i, (w, c) in enumerate(zip(wide, cells.values()))})
+    rows = rows.withColumns({f"_b{i}": F.floor((F.instr(f"_t{i}", ".") - 1) / LIMB).cast("int") for i in range(len(cells))})
     some = wide[0]
     for w in wide[1:]:
         some = some | w
     none = F.array(F.lit(None).cast("struct<number:int,place:int,limb:bigint>"))
-    limbs = F.concat(none, *[F.when(w, _limbs(c, F.col(f"_t{i}"), i)).otherwise(F.array().cast("array<struct<number:int,place:int,limb:bigint>>")) for i, (w, c) in enumerate(zip(wide, cells.values()))])
+    limbs = F.concat(none, *[F.when(w, _limbs(c, F.col(f"_t{i}"), F.col(f"_b{i}"), i)).otherwise(F.array().cast("array<struct<number:int,place:int,limb:bigint>>")) for i, (w, c) in enumerate(zip(wide, cells.values()))])
     rows = rows.withColumn("_limb", F.explode_outer(F.when(some, limbs)))  # one row with null for each row of df, and its limbs
     own = []
     for i, c in enumerate(cells.values()):
