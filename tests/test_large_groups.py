@@ -56,6 +56,15 @@ def test_any_spread_of_weights(spark, monkeypatch, small, many):
     assert {k: v and Decimal(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize("small, many", [(4, 100), (4, 0)])
+def test_rows_of_one_id_share_the_total(spark, monkeypatch, small, many):
+    monkeypatch.setattr(steps, "SMALL", small)
+    monkeypatch.setattr(steps, "MANY", many)
+    t = table_of(spark.range(60).select(F.lit("x").alias("g"), F.lit(1).alias("w"), "id"), "t", ["g", "w"], F.col("id") % 7)
+    out = steps.allocate(t, {"id": "s", "by": ["g"], "weight": "w", "total": {"literal": "0.70"}, "column": "s"}, {})[0].df
+    assert sorted(r.s for r in out.collect()) == ["0.01"] * 50 + ["0.02"] * 10
+
+
 def test_shares_of_nines_are_counted_up(spark):
     texts = ["0", "9", "19", "1" + "9" * 17, "9" * 40, "12" * 20, "8" * 17 + "9"]
     df = spark.createDataFrame([(x,) for x in texts], "x string")
